@@ -38,6 +38,12 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path(), ids=False)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import digests, format_chat
 
@@ -47,7 +53,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_chat(rows.unionByName(extra), tokenizer_path()))
 
 
-QUERIES = {f.__name__: f for f in (op1_bsi_topk, op2_decontaminate, op3_pack, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_bsi_topk, op2_decontaminate, op3_pack, op5_simhash, op10_chat)}
 
 ORACLE_SQL = {
     "op1_bsi_topk": """
