@@ -44,6 +44,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import repeated_words
+
+    return repeated_words(_table(spark, sf_dir, "documents"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import digests, format_chat
 
@@ -53,7 +59,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_chat(rows.unionByName(extra), tokenizer_path()))
 
 
-QUERIES = {f.__name__: f for f in (op1_bsi_topk, op2_decontaminate, op3_pack, op5_simhash, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_bsi_topk, op2_decontaminate, op3_pack, op5_simhash, op7_substring_dedup, op10_chat)}
 
 ORACLE_SQL = {
     "op1_bsi_topk": """
@@ -92,6 +98,25 @@ WITH d AS (
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
+""",
+    "op7_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), v AS (
+  SELECT doc_id, i, md5(array_to_string(w[i : i + 19], ' ')) AS k
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS i FROM d WHERE len(w) >= 20)
+), r AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM v) WHERE n > 1
+), g AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS j FROM r
+), p AS (
+  SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM d
+), k AS (
+  SELECT p.doc_id, count(*) AS n_kept, string_agg(x, ' ' ORDER BY p.j) AS kept
+  FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.j = g.j WHERE g.j IS NULL GROUP BY p.doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
 """,
     "op10_chat": r"""
 WITH c AS (
