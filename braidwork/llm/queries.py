@@ -38,6 +38,19 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path(), ids=False)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import scratch_path
+    from .warc import read_records, reassemble, write_archive
+
+    path = scratch_path(spark, "warc")
+    write_archive(_table(spark, sf_dir, "pages"), path)
+    out = reassemble(read_records(spark, path))
+    return out.select(
+        "page_id", F.coalesce(F.length("payload").cast("long"), "payload_length").alias("payload_bytes"),
+        F.coalesce(F.sha1("payload"), "digest").alias("payload_digest"), "record_type", "refers_to",
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -59,7 +72,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_chat(rows.unionByName(extra), tokenizer_path()))
 
 
-QUERIES = {f.__name__: f for f in (op1_bsi_topk, op2_decontaminate, op3_pack, op5_simhash, op7_substring_dedup, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_bsi_topk, op2_decontaminate, op3_pack, op4_warc, op5_simhash, op7_substring_dedup, op10_chat)}
 
 ORACLE_SQL = {
     "op1_bsi_topk": """
@@ -98,6 +111,14 @@ WITH d AS (
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
+""",
+    "op4_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT page_id, h, strlen(h) AS n, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
+FROM g
 """,
     "op7_substring_dedup": r"""
 WITH d AS (
