@@ -57,12 +57,30 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import repeated_words
 
     return repeated_words(_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import languages
+
+    return languages(_table(spark, sf_dir, "documents"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import digests, format_chat
 
@@ -72,7 +90,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_chat(rows.unionByName(extra), tokenizer_path()))
 
 
-QUERIES = {f.__name__: f for f in (op1_bsi_topk, op2_decontaminate, op3_pack, op4_warc, op5_simhash, op7_substring_dedup, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_bsi_topk, op2_decontaminate, op3_pack, op4_warc, op5_simhash, op6_quality, op7_substring_dedup, op8_toxicity, op9_langid, op10_chat)}
 
 ORACLE_SQL = {
     "op1_bsi_topk": """

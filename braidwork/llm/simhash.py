@@ -229,7 +229,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = named.select("fp", "component", "least")
     best = named.groupBy("component").agg(F.min("least").alias("low"))
     linked = named.select("fp", "component").join(best, "component").select("fp", "low")
-    of = least.join(linked, "fp", "left").select("fp", F.least("least", "low").alias("component_id"))
+    # as a table, so that a fingerprint of many copies is a skewed join that adaptive execution splits
+    of = written(least.join(linked, "fp", "left").select("fp", F.least("least", "low").alias("component_id")), "simhash-groups")
     return own.join(of, "fp").select(id_col, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
