@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .spans import LOWER, U64, WORD, covered, pieces, span_hashes, text_buffer, whole_windows, window_hashes, word_spans
+from .spans import LOWER, U64, WORD, covered, pieces, span_hashes, text_buffer, tidied, whole_windows, window_hashes, word_spans
 
 WINDOW = 10
 #: Benchmark text that one pass ships to the executors; a larger benchmark takes several passes.
@@ -170,7 +170,7 @@ def find_contamination(
 
         def mark(batches, index=index, last=last):
             idx: Index = index.value
-            for b in batches:
+            for b in tidied(batches):
                 n_words, spans, names = [], [], []
                 before = b.column("__spans").to_pylist() if parts > 1 else [None] * b.num_rows
                 listed = b.column("__items").to_pylist() if parts > 1 else [None] * b.num_rows

@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spans import tidied
 from .tokens import encoder
 
 MAX_TOKENS, MAX_SEGMENTS = 1024, 256
@@ -163,14 +164,14 @@ def pack(
             return pa.RecordBatch.from_arrays(arrays, [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * ids])
 
         id_type = None
-        for batch in batches:
+        for batch in tidied(batches):
             id_type = batch.schema.field("i").type
             texts = batch.column("t")
             got = []
-            for at in range(0, batch.num_rows, 2000):
-                part = texts.slice(at, 2000).to_pylist()
-                names = batch.column("i").slice(at, 2000).to_pylist()
-                prompts = batch.column("p").slice(at, 2000).to_pylist()
+            for at in range(0, batch.num_rows, 400):
+                part = texts.slice(at, 400).to_pylist()
+                names = batch.column("i").slice(at, 400).to_pylist()
+                prompts = batch.column("p").slice(at, 400).to_pylist()
                 for name, x, p in zip(names, enc.encode(part), prompts):
                     tokens = np.append(x, np.int32(end_id)).astype("<u4")
                     got += rows_of(packer.add((name, tokens), len(tokens), max(0, min(p, len(tokens) - 1)), len(tokens) - 1))

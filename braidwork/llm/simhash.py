@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, shuffle_partitions, written
+from .spans import tidied
 
 SHINGLE_WORDS = 3
 DISTANCE = 2
@@ -68,7 +69,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def run(batches):
         from xxhash import xxh64_intdigest
 
-        for b in batches:
+        for b in tidied(batches):
             texts = b.column("__text")
             for lo in range(0, b.num_rows, 256):
                 hashes: list[int] = []
@@ -149,7 +150,7 @@ def link_fingerprints(fps: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame
             hot.clear()
             return pa.RecordBatch.from_arrays([pa.array(a + h, pa.int64()), pa.array(b + [None] * len(h), pa.int64())], ["a", "b"])
 
-        for batch in batches:
+        for batch in tidied(batches):
             if not batch.num_rows:
                 continue
             s, f = np.asarray(batch.column("sig")), np.asarray(batch.column("fp"))

@@ -7,6 +7,7 @@ sums, so no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
 from functools import lru_cache
 
 import numpy as np
@@ -28,6 +29,26 @@ WORD = np.zeros(256, bool)
 WORD[0x30:0x3A] = WORD[0x61:0x7B] = WORD[0x80:] = True
 
 
+def tidy() -> None:
+    """Give freed memory back: workers are reused by later stages, whose memory adds to what is kept."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def tidied(batches):
+    """The batches, with freed memory given back after each and at the end."""
+    try:
+        for b in batches:
+            yield b
+            del b
+            tidy()
+    finally:
+        tidy()
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from .spans import NOT_SPACE, U64, covered, mix, pieces, span_hashes, text_buffer, whole_windows, window_hashes, word_spans
+from .spans import NOT_SPACE, U64, covered, mix, pieces, span_hashes, text_buffer, tidy, whole_windows, window_hashes, word_spans
 
 WINDOW_WORDS = 20
 #: Text bytes of one chunk of documents, which one task handles at a time.
@@ -126,6 +126,7 @@ def repeated_words(
     SKETCH = "chunk int, line int, part int, cells binary"
 
     def sketch(table):
+        tidy()
         name = table.column("chunk")[0].as_py()
         own = Chunk(table, window)
         out: list[tuple] = []
@@ -139,6 +140,7 @@ def repeated_words(
         return _table(out)
 
     def merge(key, table):
+        tidy()
         own = [unsqueeze_sorted(x) for x in table.column("cells").to_pylist()]
         v = np.sort(np.concatenate(own))
         c = v >> U64(1)
@@ -163,6 +165,7 @@ def repeated_words(
     told = dealt.applyInArrow(sketch, SKETCH).groupBy("line", "part").applyInArrow(merge, SKETCH)
 
     def candidates(table: pa.Table, full: pa.Table) -> pa.Table:
+        tidy()
         out: list[tuple] = []
         if table.num_rows and full.num_rows:
             name = table.column("chunk")[0].as_py()
@@ -193,6 +196,7 @@ def repeated_words(
     asked = dealt.cogroup(told.groupBy("chunk")).applyInArrow(candidates, "chunk int, part int, k1 binary, k2 binary, low long, ids binary, rows binary, starts binary")
 
     def resolve(key, table):
+        tidy()
         names = table.column("chunk").to_pylist()
         k1 = [unsqueeze_sorted(x) for x in table.column("k1").to_pylist()]
         k2 = [unsqueeze(x) for x in table.column("k2").to_pylist()]
@@ -221,6 +225,7 @@ def repeated_words(
     digest = result == "digest"
 
     def remove(table: pa.Table, told: pa.Table) -> pa.Table:
+        tidy()
         if not table.num_rows:
             return pa.table([pa.array([], f.type) for f in arrow], [f.name for f in arrow])
         ids = table.column("i").combine_chunks()

@@ -18,9 +18,9 @@ import numpy as np
 
 from .spans import span_hashes
 
-STEP_CHARS = 6_000_000
+STEP_CHARS = 2_000_000
 #: Distinct pieces remembered by a worker; beyond it the table starts anew.
-CACHE_PIECES = 2_000_000
+CACHE_PIECES = 600_000
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: The code points of Unicode's White_Space property.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
