@@ -248,7 +248,8 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
         one = near.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         repeats = not one.isEmpty()
     if not repeats and docs.select(id_col).groupBy(id_col).count().where("count > 1").isEmpty():
-        return docs.join(near.select(F.col(id_col).alias("__id")), F.col(id_col) == F.col("__id"), "left_semi")
+        # the kept ids grow with the input: the same shuffled join at every size
+        return docs.join(near.select(F.col(id_col).alias("__id")).hint("merge"), F.col(id_col) == F.col("__id"), "left_semi")
     cols = docs.columns
     own = fingerprints(docs.withColumnRenamed(text_col, "__own_text"), id_col=id_col, text_col="__own_text", keep=(*(c for c in cols if c not in (id_col, text_col)), "__own_text"))
     near = near.groupBy("fp").agg(F.min(id_col).alias("__id")).select(F.col("fp").alias("__fp"), "__id")
