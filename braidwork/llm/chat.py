@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import shuffle_partitions
+from .spans import tidied
 
 #: The marks around a turn, by role; other roles are written out between OTHER's marks.
 MARKS = {"user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
@@ -20,6 +21,8 @@ OTHER = ("[ROLE]", "[/ROLE]", "[/TURN]")
 LOSS_ROLE = "assistant"
 #: Characters after which a conversation is encoded in a further part, cut between turns.
 PART_CHARS = 1_000_000
+#: Characters encoded in one call.
+STEP_CHARS = 200_000
 
 _CONTROL = "|".join(re.escape(x) for pair in (*MARKS.values(), OTHER) for x in pair)
 _ESCAPE = re.compile(rf"\\|{_CONTROL}")
@@ -155,14 +158,14 @@ def format_chat(
 
         ready, held = [], 0
         conv, part, turns, size, id_type, begun = None, 0, [], 0, None, False
-        for b in batches:
+        for b in tidied(batches):
             id_type = b.schema.field("c").type
             for c, r, t in zip(b.column("c").to_pylist(), b.column("r").to_pylist(), b.column("t").to_pylist()):
                 if begun and (c != conv or size > part_chars):
                     ready.append((conv, part, turns))
                     held += size
                     part, turns, size = (part + 1 if c == conv else 0), [], 0
-                    if held > part_chars or len(ready) >= 500:
+                    if held > STEP_CHARS or len(ready) >= 200:
                         yield emit(ready, id_type)
                         ready, held = [], 0
                 conv, begun = c, True

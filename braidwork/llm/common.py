@@ -44,6 +44,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def hidden(df: DataFrame):
+    """(df with names of its own, a function from the old names to them): no column then clashes with an operator's."""
+    cols = df.columns
+    names = [f"__c{i}" for i in range(len(cols))]
+    return df.toDF(*names), lambda c: names[cols.index(c)]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hidden, written
 from .spans import LOWER, U64, WORD, covered, pieces, span_hashes, text_buffer, tidied, whole_windows, window_hashes, word_spans
 
 WINDOW = 10
@@ -195,8 +195,9 @@ def n_hit() -> F.Column:
     return F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]).cast("long"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs, all columns, without the documents that hold a window of the benchmark."""
-    cols = tuple(docs.columns)
-    out = find_contamination(docs, benchmark, keep=tuple(c for c in cols if c != options.get("id_col", "doc_id")), **options)
-    return out.where(F.size("hit_spans") == 0).select(*cols)
+    own, of = hidden(docs)
+    rest = tuple(c for c in own.columns if c != of(id_col))
+    out = find_contamination(own, benchmark, id_col=of(id_col), text_col=of(text_col), keep=rest, **options)
+    return out.where(F.size("hit_spans") == 0).select(*own.columns).toDF(*docs.columns)

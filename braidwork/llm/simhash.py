@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, shuffle_partitions, written
+from .common import connected_components, hidden, shuffle_partitions, written
 from .spans import tidied
 
 SHINGLE_WORDS = 3
@@ -250,8 +250,8 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     if not repeats and docs.select(id_col).groupBy(id_col).count().where("count > 1").isEmpty():
         # the kept ids grow with the input: the same shuffled join at every size
         return docs.join(near.select(F.col(id_col).alias("__id")).hint("merge"), F.col(id_col) == F.col("__id"), "left_semi")
-    cols = docs.columns
-    own = fingerprints(docs.withColumnRenamed(text_col, "__own_text"), id_col=id_col, text_col="__own_text", keep=(*(c for c in cols if c not in (id_col, text_col)), "__own_text"))
-    near = near.groupBy("fp").agg(F.min(id_col).alias("__id")).select(F.col("fp").alias("__fp"), "__id")
-    out = own.join(near, (F.col("fp") == F.col("__fp")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return out.dropDuplicates([id_col, "fp"]).withColumnRenamed("__own_text", text_col).select(*cols)
+    own, of = hidden(docs)
+    marked = fingerprints(own, id_col=of(id_col), text_col=of(text_col), keep=tuple(c for c in own.columns if c != of(id_col)))
+    best = near.groupBy("fp").agg(F.min(id_col).alias("id")).select(F.col("fp").alias("k"), "id")
+    out = marked.join(best, (F.col("fp") == F.col("k")) & F.col(of(id_col)).eqNullSafe(F.col("id")), "left_semi")
+    return out.dropDuplicates([of(id_col), "fp"]).select(*own.columns).toDF(*docs.columns)
