@@ -60,12 +60,12 @@ def algebra(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     w = Window.partitionBy("key").orderBy("at")
     run = steps.select("key", F.col("at").alias("bgn"), F.lead("at").over(w).alias("end"), F.sum("da").over(w).alias("x"), F.sum("db").over(w).alias("y"))
     value = {"and": F.least("x", "y"), "or": F.greatest("x", "y"), "minus": F.when(F.col("y") > 0, 0).otherwise(F.col("x"))}[how]
-    return _runs(run.select("key", "bgn", "end", value.alias("depth")).where("end is not null"))
+    return runs(run.select("key", "bgn", "end", value.alias("depth")).where("end is not null"))
 
 
 def divide(iv: DataFrame, n: int) -> DataFrame:
     """Depth divided by n, rounded down."""
-    return _runs(depth(iv).withColumn("depth", F.floor(F.col("depth") / n)))
+    return runs(depth(iv).withColumn("depth", F.floor(F.col("depth") / n)))
 
 
 def complement(iv: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def dilate(iv: DataFrame, n: int) -> DataFrame:
     return solid(iv).select("key", (F.col("bgn") - n).alias("bgn"), (F.col("end") + n).alias("end"))
 
 
-def _runs(run: DataFrame) -> DataFrame:
+def runs(run: DataFrame) -> DataFrame:
     """Touching stretches of equal positive depth as one."""
     w = Window.partitionBy("key").orderBy("bgn")
     run = run.where("depth > 0")
