@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as gr
 from ..operators import overlaps as ov
 from ..operators import seeds as sd
+from ..operators import selection as sl
 from ..operators import tigs as tg
 from .catalog import BASES, EV, LETTERS, OV, events, merge, query, read_overlaps, sweep, table
 from .intervalquery import Layout
@@ -253,3 +254,50 @@ def layout_inside(spark, sf):
 SELECT c.key, c.bgn, c."end", c.depth FROM c JOIN cm ON c.key = cm.key AND c.bgn >= cm.bgn AND c."end" <= cm."end" WHERE cm."end" - cm.bgn < 20000""")
 def layout_short(spark, sf):
     return layout(spark, sf).run("click < 20000")
+
+
+@query("""WITH t AS (SELECT sum(n_chars) // 4 AS total FROM documents), r AS (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING) - n_chars AS before FROM documents)
+SELECT doc_id, n_chars FROM r, t WHERE before < total""")
+def longest_until(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "n_chars")
+    total = d.agg(F.floor(F.sum("n_chars") / 4)).first()[0]
+    return sl.longest_until(d, total, "doc_id", "n_chars")
+
+
+@query(f"""WITH {OV}, d AS (SELECT *, row_number() OVER (PARTITION BY a_iid, cls ORDER BY erate) - 1 AS r, count(*) OVER (PARTITION BY a_iid, cls) AS n FROM x WHERE cls IN ('dovetail5', 'dovetail3')),
+c AS (SELECT a_iid, cls, erate AS cut FROM d WHERE r = floor((n - 1) * 0.5)) SELECT d.a_iid, d.b_iid, d.cls, d.olen, d.erate FROM d JOIN c ON c.a_iid = d.a_iid AND c.cls = d.cls WHERE d.erate <= c.cut""")
+def strong_edges(spark, sf):
+    return sl.without_weak(ov.symmetrised(read_overlaps(spark, sf)), 0.5).select("a_iid", "b_iid", "cls", "olen", "erate")
+
+
+@query(f"""WITH {OV}, n AS (SELECT cls, a_iid, count(*) AS v FROM x WHERE cls IN ('dovetail5', 'dovetail3') GROUP BY cls, a_iid),
+md AS (SELECT cls, quantile_disc(v, 0.5) AS mid FROM n GROUP BY cls), mo AS (SELECT cls, v AS mode FROM (SELECT cls, v, count(*) AS c FROM n GROUP BY cls, v) QUALIFY row_number() OVER (PARTITION BY cls ORDER BY c DESC, v) = 1),
+ma AS (SELECT cls, 1.4826 * quantile_disc(abs(v - mid), 0.5) AS mad FROM n JOIN md USING (cls) GROUP BY cls)
+SELECT round(CAST(sum(mode + 2 * mad) / 2 AS DOUBLE), 6) AS threshold FROM mo JOIN ma USING (cls)""")
+def repeat_threshold(spark, sf):
+    return sl.repeat_threshold(ov.symmetrised(read_overlaps(spark, sf))).withColumn("threshold", F.round("threshold", 6))
+
+
+@query("""WITH b AS (SELECT o_orderpriority AS key, CAST(floor(ln(o_totalprice) / ln(10) + 1e-9) AS BIGINT) AS bucket, CAST(floor(o_totalprice) AS BIGINT) AS x FROM orders WHERE o_totalprice >= 1),
+c AS (SELECT key, CAST(floor(ln(x) / ln(10) + 1e-9) AS BIGINT) AS bucket, x FROM b)
+SELECT key, bucket, count(*) AS n, CAST(sum(x) AS BIGINT) AS total, min(x) AS least, max(x) AS most, CAST(sum(count(*)) OVER (PARTITION BY key ORDER BY bucket) AS BIGINT) AS upto FROM c GROUP BY key, bucket""")
+def log_buckets(spark, sf):
+    o = table(spark, sf, "orders").where("o_totalprice >= 1")
+    return sl.log_buckets(o.select(F.col("o_orderpriority").alias("key"), F.floor("o_totalprice").alias("x")))
+
+
+@query(f"""WITH {RD}, p AS (SELECT tig AS scaffold, rn AS ord, iid AS piece, lead(iid) OVER w AS next, q, CASE WHEN lead(iid) OVER w IS NOT NULL THEN greatest(noise * 5, 20) END AS gap FROM rd WINDOW w AS (PARTITION BY tig ORDER BY rn)),
+s AS (SELECT *, CAST(coalesce(sum(q + coalesce(gap, 0)) OVER (PARTITION BY scaffold ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS bgn FROM p)
+SELECT scaffold, CAST(ord AS INTEGER) AS ord, piece, next, bgn, bgn + q AS "end", gap FROM s""")
+def scaffold_offsets(spark, sf):
+    r = reads(spark, sf)
+    return sl.offsets(r.select(F.col("tig").alias("scaffold"), F.col("rn").alias("ord"), F.col("iid").alias("piece"), F.col("q").alias("len"), (F.col("noise") * 5).alias("gap")))
+
+
+@query("""WITH a AS (SELECT event_type || ' ' || user_id % 50 AS metric, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT event_type || ' ' || user_id % 50 AS metric, count(*) AS n FROM events WHERE event_id % 2 = 1 GROUP BY 1)
+SELECT metric, a.n AS before, b.n AS after, b.n - a.n AS change, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' WHEN a.n = b.n THEN 'same' ELSE 'changed' END AS status FROM a FULL JOIN b USING (metric)""")
+def runs_compared(spark, sf):
+    """Events of even and odd ids stand for two runs."""
+    e = table(spark, sf, "events").select("event_id", F.concat_ws(" ", "event_type", F.col("user_id") % 50).alias("metric"))
+    run = lambda k: e.where(F.col("event_id") % 2 == k).groupBy("metric").agg(F.count(F.lit(1)).alias("n"))
+    return sl.compared(run(0), run(1), "metric", "n")
