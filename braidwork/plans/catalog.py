@@ -77,7 +77,7 @@ def sweep(name: str, source: str) -> str:
 
 def merge(name: str, source: str) -> str:
     return f"""{name}_m AS (SELECT key, bgn, "end", CASE WHEN bgn <= max("end") OVER (PARTITION BY key ORDER BY bgn, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM {source}),
-{name}_g AS (SELECT *, sum(n) OVER (PARTITION BY key ORDER BY bgn, "end" ROWS UNBOUNDED PRECEDING) AS g FROM {name}_m),
+{name}_g AS (SELECT *, sum(n) OVER (PARTITION BY key ORDER BY bgn, "end", n DESC ROWS UNBOUNDED PRECEDING) AS g FROM {name}_m),
 {name} AS (SELECT key, min(bgn) AS bgn, max("end") AS "end", count(*) AS n FROM {name}_g GROUP BY key, g)"""
 
 
