@@ -70,3 +70,15 @@ def agp_lines(pieces: DataFrame, least_gap: int = 20) -> DataFrame:
     gap = line(F.col("end") + 1, F.col("end") + F.col("gap"), F.col("n") * 2, "N", F.col("gap").cast("string"))
     both = F.when(F.col("gap").isNotNull(), F.array(piece, gap)).otherwise(F.array(piece))
     return o.select(F.col("scaffold").alias("object"), F.explode(both).alias("l")).select("object", "l.*")
+
+
+def surrogate_reads(reads: DataFrame, mates: DataFrame, instances: DataFrame, placed: DataFrame) -> DataFrame:
+    """(iid, instance): reads(iid, tig) of a surrogate tig, in its one instance(tig, instance, scaffold) in the scaffold of the mate.
+
+    placed(iid, scaffold) are the mates that lie in a scaffold.  A scaffold with two
+    instances of the tig or more leaves the read open.
+    """
+    one = instances.groupBy("tig", "scaffold").agg(F.min("instance").alias("instance"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    both = mates.select("iid", "mate").unionByName(mates.select(F.col("mate").alias("iid"), F.col("iid").alias("mate")))
+    at = reads.select("iid", "tig").join(both, "iid").join(placed.select(F.col("iid").alias("mate"), "scaffold"), "mate")
+    return at.join(one, ["tig", "scaffold"]).select("iid", "instance")

@@ -62,3 +62,22 @@ def compared(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     j = a.select(key, F.col(value).alias("before")).join(b.select(key, F.col(value).alias("after")), key, "full_outer")
     status = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(F.col("before") == F.col("after"), "same").otherwise("changed")
     return j.withColumn("change", F.col("after") - F.col("before")).withColumn("status", status)
+
+
+def random_until(df: DataFrame, total: int, seed: int, id_col: str = "id", len_col: str = "len", buckets: int = 4096) -> DataFrame:
+    """Rows in the order of the MD5 of "seed:id", as many as it takes for their lengths to reach total.
+
+    Lengths are summed by the first digits of the hash (`buckets` of them, a power of 16), and
+    only the bucket in which the total is reached is sorted.
+    """
+    digits = len(f"{buckets - 1:x}")
+    h = df.where(F.col(id_col).isNotNull() & F.col(len_col).isNotNull()).withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary")))
+    b = h.groupBy(F.substring("__h", 1, digits).alias("b")).agg(F.sum(len_col).alias("n"))
+    run = b.withColumn("before", F.sum("n").over(Window.orderBy("b")) - F.col("n"))  # at most `buckets` rows
+    last = run.where(F.col("before") < total).orderBy(F.desc("b")).first()
+    if last is None:
+        return df.limit(0)
+    head = F.substring("__h", 1, digits)
+    w = Window.partitionBy(head).orderBy("__h", id_col).rowsBetween(Window.unboundedPreceding, -1)
+    rest = h.where(head == last["b"]).withColumn("__n", F.coalesce(F.sum(len_col).over(w), F.lit(0))).where(F.col("__n") < total - last["before"])
+    return h.where(head < last["b"]).select(df.columns).unionByName(rest.select(df.columns))

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import overlaps as ov
 from ..operators import placement as pl
+from ..operators import selection as sl
 from ..operators import trimming as tr
 from ..operators import variants as va
-from .assembly import MEAN, RD, STATUS, STDDEV, _tig_mates, mates, reads
+from .assembly import COLS, MEAN, RD, STATUS, STDDEV, _tig_mates, columns, mates, reads
 from .catalog import OV, merge, query, read_overlaps, sweep, table
 
 
@@ -160,3 +161,34 @@ UNION ALL SELECT tig, b + q + 1, b + q + gap, rn * 2, 'N', CAST(gap AS VARCHAR)
 def agp_lines(spark, sf):
     r = reads(spark, sf)
     return pl.agp_lines(r.select(F.col("tig").alias("scaffold"), F.col("rn").alias("ord"), F.col("iid").alias("piece"), F.col("q").alias("len"), (F.col("noise") * 5).alias("gap")))
+
+
+@query(f"""WITH {BASE}, n AS (SELECT tig, col, base, count(*) AS n FROM ba GROUP BY ALL), m AS (SELECT tig, col, base AS most FROM (SELECT *, sum(n) OVER (PARTITION BY tig, col) AS total FROM n) WHERE total > 1 AND 2 * n > total)
+SELECT tig, iid, string_agg(coalesce(most, base), '' ORDER BY col) AS seq, CAST(sum(CASE WHEN most <> base THEN 1 ELSE 0 END) AS BIGINT) AS changes FROM ba LEFT JOIN m USING (tig, col) GROUP BY tig, iid""")
+def corrected_reads(spark, sf):
+    return va.corrected(bases(spark, sf))
+
+
+@query(f"""WITH {COLS}, c AS (SELECT tig, col, max(base) AS base, CAST(max(qv) AS INTEGER) AS qv FROM cl GROUP BY tig, col)
+SELECT tig, col // 3 AS block, coalesce(string_agg(CASE WHEN base <> '-' THEN base END, '' ORDER BY col), '') AS seq, coalesce(string_agg(CASE WHEN base <> '-' THEN chr(qv + 33) END, '' ORDER BY col), '') AS qlt FROM c GROUP BY tig, col // 3""")
+def consensus_blocks(spark, sf):
+    """The greatest letter of a column stands for its call."""
+    c = columns(spark, sf).groupBy("tig", "col").agg(F.max("base").alias("base"), F.max("qv").alias("qv"))
+    return va.consensus_blocks(c, 3)
+
+
+@query(f"""WITH {RD}, bo AS (SELECT iid, mate FROM mt UNION ALL SELECT mate, iid FROM mt), ins AS (SELECT DISTINCT tig % 40 AS tig, tig AS instance, tig % 30 % 7 AS scaffold FROM rd WHERE tig % 5 = 0),
+one AS (SELECT tig, scaffold, min(instance) AS instance FROM ins GROUP BY tig, scaffold HAVING count(*) = 1)
+SELECT a.iid, one.instance FROM rd a JOIN bo ON bo.iid = a.iid JOIN rd b ON b.iid = bo.mate JOIN one ON one.tig = a.tig % 40 AND one.scaffold = b.tig % 7""")
+def surrogate_reads(spark, sf):
+    """Tigs of 40 groups stand for surrogates, those of every fifth id for their instances, groups of 7 for scaffolds."""
+    r = reads(spark, sf)
+    ins = r.where("tig % 5 = 0").select((F.col("tig") % 40).alias("tig"), F.col("tig").alias("instance"), (F.col("tig") % 30 % 7).alias("scaffold")).distinct()
+    return pl.surrogate_reads(r.select("iid", (F.col("tig") % 40).alias("tig")), mates(r), ins, r.select("iid", (F.col("tig") % 7).alias("scaffold")))
+
+
+@query("""WITH t AS (SELECT sum(n_chars) // 3 AS total FROM documents), h AS (SELECT doc_id, n_chars, md5('7:' || doc_id) AS h FROM documents),
+r AS (SELECT *, coalesce(sum(n_chars) OVER (ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h) SELECT doc_id, n_chars FROM r, t WHERE before < total""")
+def random_until(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "n_chars")
+    return sl.random_until(d, d.agg(F.floor(F.sum("n_chars") / 3)).first()[0], 7, "doc_id", "n_chars")

@@ -2,6 +2,7 @@
 
 import gzip
 
+import pytest
 from pyspark.sql import functions as F
 
 from braidwork.functions import quality as ql
@@ -133,3 +134,51 @@ def test_quality(spark):
         ql.possible(F.lit("!"), F.lit("J")).alias("p"), ql.values(F.lit(None).cast("string")).alias("n"),
     ).first()
     assert (r.v, r.m, r.e, r.i, r.s, r.p, r.n) == ([0, 40], 20.0, None, "I#", '"I', ["illumina18"], None)
+
+
+def test_flowgrams_and_alignments(spark, tmp_path):
+    import gzip
+    import struct
+
+    from braidwork.sources import binary
+
+    flows, key = 3, b"TCAG"
+    head = struct.pack(">4s4sQIIHHHB", b".sff", b"\0\0\0\1", 0, 0, 2, 40, len(key), flows, 1) + b"TAC" + key
+    head += b"\0" * (40 - len(head))
+
+    def read(name, seq, quals, clips):
+        h = struct.pack(">HHIHHHH", 32, len(name), len(seq), *clips) + name
+        body = b"\0" * (2 * flows + len(seq)) + seq + bytes(quals)
+        return h + b"\0" * (32 - len(h)) + body + b"\0" * (-len(body) % 8)
+
+    sff = head + read(b"r1", b"TCAGA", [1, 2, 3, 4, 40], (2, 4, 0, 0)) + read(b"read2", b"", [], (0, 0, 0, 0))
+    (tmp_path / "a.sff").write_bytes(sff)
+    got = {tuple(r)[1:] for r in binary.read_sff(spark, str(tmp_path / "a.sff")).collect()}
+    assert got == {("r1", "TCAGA", '"#$%I', 1, 4, 0, 5), ("read2", "", "", 0, 0, 0, 0)}
+    with pytest.raises(ValueError):
+        list(binary.sff_reads(sff[:-20]))
+
+    def aligned(name, flag, ref, pos, ops, seq, quals):
+        code = ["=ACMGRSVTWYHKDBN".index(c) for c in seq] + [0] * (len(seq) % 2)
+        b = struct.pack("<iiBBHHHiiii", ref, pos, len(name) + 1, 7, 0, len(ops), flag, len(seq), -1, -1, 0) + name + b"\0" + struct.pack(f"<{len(ops)}I", *(n << 4 | "MIDNSHP=X".index(o) for n, o in ops))
+        b += bytes(code[i] << 4 | code[i + 1] for i in range(0, len(code), 2)) + bytes(quals)
+        return struct.pack("<i", len(b)) + b
+
+    plain = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 3) + b"c1\0" + struct.pack("<i", 99)
+    plain += aligned(b"q1", 16, 0, 4, [(2, "S"), (3, "M")], "ACGTN", [0, 1, 2, 3, 4]) + aligned(b"q2", 4, -1, -1, [], "", [])
+    bam = gzip.compress(plain[:50]) + gzip.compress(plain[50:]) + gzip.compress(b"")
+    (tmp_path / "a.bam").write_bytes(bam)
+    got = {tuple(r)[1:] for r in binary.read_bam(spark, str(tmp_path / "a.bam")).collect()}
+    assert got == {("q1", 16, "c1", 5, 7, "2S3M", "ACGTN", "!\"#$%"), ("q2", 4, None, 0, 7, None, None, None)}
+    with pytest.raises(ValueError):
+        list(binary.bam_alignments(gzip.compress(plain[:-3])))
+
+
+def test_clear_by_quality(spark):
+    from braidwork.functions import quality
+
+    good, bad = "I" * 20, "!" * 15
+    d = spark.createDataFrame([(bad + good + bad,), ("",), (None,), (bad,), ("IIIII",)], "q string")
+    got = [tuple(r["c"]) for r in d.coalesce(1).select(quality.clear_by_quality(F.col("q"), 20).alias("c")).collect()]
+    assert got[0] == (15, 35)
+    assert got[1:] == [(0, 0)] * 4
