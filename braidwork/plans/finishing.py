@@ -177,14 +177,14 @@ def consensus_blocks(spark, sf):
     return va.consensus_blocks(c, 3)
 
 
-@query(f"""WITH {RD}, bo AS (SELECT iid, mate FROM mt UNION ALL SELECT mate, iid FROM mt), ins AS (SELECT DISTINCT tig % 40 AS tig, tig AS instance, tig % 30 % 7 AS scaffold FROM rd WHERE tig % 5 = 0),
+@query(f"""WITH {RD}, bo AS (SELECT iid, mate FROM mt UNION ALL SELECT mate, iid FROM mt), ins AS (SELECT DISTINCT tig % 40 AS tig, tig AS instance, tig % 997 AS scaffold FROM rd WHERE tig % 5 = 0),
 one AS (SELECT tig, scaffold, min(instance) AS instance FROM ins GROUP BY tig, scaffold HAVING count(*) = 1)
-SELECT a.iid, one.instance FROM rd a JOIN bo ON bo.iid = a.iid JOIN rd b ON b.iid = bo.mate JOIN one ON one.tig = a.tig % 40 AND one.scaffold = b.tig % 7""")
+SELECT a.iid, one.instance FROM rd a JOIN bo ON bo.iid = a.iid JOIN rd b ON b.iid = bo.mate JOIN one ON one.tig = a.tig % 40 AND one.scaffold = b.tig % 997""")
 def surrogate_reads(spark, sf):
-    """Tigs of 40 groups stand for surrogates, those of every fifth id for their instances, groups of 7 for scaffolds."""
+    """Tigs of 40 groups stand for surrogates, those of every fifth id for their instances, 997 groups for scaffolds."""
     r = reads(spark, sf)
-    ins = r.where("tig % 5 = 0").select((F.col("tig") % 40).alias("tig"), F.col("tig").alias("instance"), (F.col("tig") % 30 % 7).alias("scaffold")).distinct()
-    return pl.surrogate_reads(r.select("iid", (F.col("tig") % 40).alias("tig")), mates(r), ins, r.select("iid", (F.col("tig") % 7).alias("scaffold")))
+    ins = r.where("tig % 5 = 0").select((F.col("tig") % 40).alias("tig"), F.col("tig").alias("instance"), (F.col("tig") % 997).alias("scaffold")).distinct()
+    return pl.surrogate_reads(r.select("iid", (F.col("tig") % 40).alias("tig")), mates(r), ins, r.select("iid", (F.col("tig") % 997).alias("scaffold")))
 
 
 @query("""WITH t AS (SELECT sum(n_chars) // 3 AS total FROM documents), h AS (SELECT doc_id, n_chars, md5('7:' || doc_id) AS h FROM documents),
