@@ -235,13 +235,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return own.join(of, "fp").select(id_col, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs, all columns, with one document of each group: that of the least id.
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates, mark=fingerprints, **options) -> DataFrame:
+    """docs, all columns, with one document of each group of `find`: that of the least id.
 
     Of rows that repeat that id in a group one stays.  Rows of null id stay
     only if their group has no id, one of each group.
     """
-    near = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    near = find(docs, id_col=id_col, text_col=text_col, **options)
     near = written(near.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col, "fp").agg(F.count(F.lit(1)).alias("n")), "simhash-keep")
     repeats = not near.where("n > 1").isEmpty() or not near.where(F.col(id_col).isNull()).isEmpty()
     if not repeats:  # ids are unique among what stays
@@ -251,7 +251,7 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
         # the kept ids grow with the input: the same shuffled join at every size
         return docs.join(near.select(F.col(id_col).alias("__id")).hint("merge"), F.col(id_col) == F.col("__id"), "left_semi")
     own, of = hidden(docs)
-    marked = fingerprints(own, id_col=of(id_col), text_col=of(text_col), keep=tuple(c for c in own.columns if c != of(id_col)))
+    marked = mark(own, id_col=of(id_col), text_col=of(text_col), keep=tuple(c for c in own.columns if c != of(id_col)))
     best = near.groupBy("fp").agg(F.min(id_col).alias("id")).select(F.col("fp").alias("k"), "id")
     out = marked.join(best, (F.col("fp") == F.col("k")) & F.col(of(id_col)).eqNullSafe(F.col("id")), "left_semi")
     return out.dropDuplicates([of(id_col), "fp"]).select(*own.columns).toDF(*docs.columns)
