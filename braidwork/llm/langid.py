@@ -7,10 +7,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .learning import held_out, remainder
+from .learning import first_of_each, held_out, remainder
 from .spans import pieces, text_buffer
 
 DIM = 4096
@@ -88,6 +88,15 @@ def families(centres: np.ndarray) -> list[list[int]]:
     return groups
 
 
+def names_of(model: "Model", texts: pa.Array) -> list[str]:
+    """The predicted language of each text, "und" as in identify()."""
+    out: list[str] = []
+    for x in features(texts):
+        own = texts.slice(len(out), len(x)).to_pylist()
+        out += [model.names[k] if k >= 0 and t and LETTER.search(t) else "und" for k, t in zip(model.predict(x)[0].tolist(), own)]
+    return out
+
+
 class Model:
     def __init__(self, names: list[str], groups: list[list[int]], family: np.ndarray, pairs: dict):
         self.names, self.groups = names, groups
@@ -133,10 +142,14 @@ class Model:
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, modulus: int = MODULUS, rest: int = REST) -> Model:
-    """Fit the machines, in numpy on the driver, to at most per_language documents of each language."""
+    """Fit the machines, in numpy on the driver, to at most per_language documents of each language.
+
+    Documents of null id, lang or text are left out, repeated rows are used as
+    often as they occur; without documents nothing is learned.
+    """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (remainder(id_col, modulus) != rest))
-    first = Window.partitionBy("y").orderBy(F.xxhash64("__id"), "__id")
-    ids = rows.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("y")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).select("__id", "y").distinct()
+    ids, _ = first_of_each(rows.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("y")), per_language)
+    ids = ids.distinct()
     own = rows.select(F.col(id_col).alias("__own"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("text"))
     own = own.join(F.broadcast(ids), (F.col("__own") == F.col("__id")) & (F.col("__lang") == F.col("y"))).select("text", "y")
 
@@ -199,6 +212,11 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tup
 
 
 def languages(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """id_col, held_out, lang_pred and score for every document; see train() and identify()."""
+    """id_col, held_out, lang_pred and score for every document; see train() and identify().
+
+    Each row has its result, repeated rows too; equal votes go to the language
+    that is first by name.  Null id: not held out.  Empty table: no rows.
+    Other columns are not looked at, whatever their names.
+    """
     out = identify(docs, train(docs, id_col=id_col), keep=(id_col,))
     return out.select(id_col, held_out(id_col, MODULUS, REST).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

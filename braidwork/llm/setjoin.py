@@ -8,18 +8,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, shuffle_partitions, written
-from .simhash import drop_near_duplicates, shingle_hashes
-from .spans import tidied
+from .simhash import drop_near_duplicates
+from .spans import LOWER, NOT_SPACE, mix, pieces, span_hashes, text_buffer, tidied, whole_windows, window_hashes, word_spans
 
 SHINGLE_WORDS = 5
+STEP_BYTES = 1 << 20
+#: Parts that so many sampled texts share come last in every text's order, of these at most MOST_HOT.
+HOT_IN_SAMPLE, MOST_HOT = 10, 100_000
+#: Rows of one signature that are held to name it by its sets.
+MOST_HELD = 50_000
 #: Bits of a parity map are about the shingles of its size class, up to this.
 MOST_BITS = 4096
 U64 = np.uint64
-
-
-def shingle_set(text: str | None, words: int, digest) -> np.ndarray:
-    """The distinct shingle hashes of a text, sorted."""
-    return np.unique(np.array(shingle_hashes(text, words, digest), U64))
+NONE = np.empty(0, U64)
+
+
+class Sets:
+    """The distinct shingle hashes of some texts, sorted, laid end to end; `bounds` cuts them by text."""
+
+    def __init__(self, h: np.ndarray, row: np.ndarray, n: int):
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        self.h, self.row = h[fresh], row[fresh]
+        self.bounds = np.searchsorted(self.row, np.arange(n + 1))
+        self.sizes = np.diff(self.bounds)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.h[self.bounds[i] : self.bounds[i + 1]]
+
+
+def shingle_sets(column: pa.Array, words: int):
+    """For a stretch of texts: their sets, in pieces."""
+    buf, offsets = text_buffer(column)
+    for lo, hi in pieces(offsets, STEP_BYTES):
+        own = LOWER[buf[offsets[lo] : offsets[hi]]]
+        starts, ends, first = word_spans(own, offsets[lo : hi + 1] - offsets[lo], NOT_SPACE)
+        word, n = span_hashes(own, starts, ends), hi - lo
+        at = whole_windows(first, words)
+        h, row = [window_hashes(word, words)[at]], [np.searchsorted(first, at, "right") - 1]
+        counts = np.diff(first)
+        for m in range(1, words):  # fewer words: all of them as one
+            few = np.flatnonzero(counts == m)
+            if len(few):
+                h.append(window_hashes(word, m)[first[few]])
+                row.append(few)
+        yield Sets(np.concatenate(h), np.concatenate(row), n)
 
 
 def set_key(h: np.ndarray, digest) -> int:
@@ -27,45 +62,63 @@ def set_key(h: np.ndarray, digest) -> int:
     return int(np.array(digest(h.tobytes(), 7), U64).view(np.int64))
 
 
-def classes(n: int) -> list[int]:
-    """Size classes of a set of n: that of [2**c, 2**(c+1)), and the next if a partner may be there."""
-    c = n.bit_length() - 1
-    return [c, c + 1] if 5 * n >= 8 << c else [c]
-
+def size_classes(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sets of n > 0: the class c of those of 2**c to 2**(c+1) - 1, and whether a partner may be in the next."""
+    c = np.frexp(n.astype(np.float64))[1].astype(np.int64) - 1
+    return c, 5 * n >= 8 * (1 << c)
 
-def _mix(x: int) -> int:
-    x &= (1 << 64) - 1
-    x = (x ^ (x >> 33)) * 0xFF51AFD7ED558CCD & (1 << 64) - 1
-    return x ^ (x >> 33)
 
-
-def signatures(h: np.ndarray, c: int) -> np.ndarray:
-    """Hashes of the contents of the first n // 4 + 1 non-empty parts of the hash range, cut for class c.
+def signatures(sets: Sets, rows: np.ndarray, c: np.ndarray, hot: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, how many for each of `rows`): contents of the first n // 4 + 1 non-empty parts of the hash range, cut for class c.
 
     Sets of n and m shingles with a Jaccard similarity of 4/5 or more differ
     in at most (n + m) / 9 <= min(n, m) / 4 shingles, hence in at most as many
-    parts.  Of the two stretches of parts from the first one the shorter holds
-    more non-empty parts than that, so one of them is equal in both sets, and
-    both have its signature.  A set of too few non-empty parts gives all of
-    them and one signature more, which all such sets share: of a pair in which
-    only one is such a set, the other's stretch has the part.
+    parts.  All sets take their parts in one order: those with contents in
+    `hot` last, else along the hash range.  Of the two stretches of parts from
+    the first one the shorter holds more parts than that, so one of them is
+    equal in both sets, and both have its signature.  Contents that very many
+    texts share, such as common passages, are thus used only by texts made of
+    little else; any choice of `hot` gives the same links.  A set of too few
+    non-empty parts gives all of them and one signature more, which all such
+    sets share: of a pair in which only one is such a set, the other's stretch
+    has the part.  whole: every part.
     """
-    parts = max(16, -(-(2 << c) // 3))
-    of = ((h >> U64(32)) * U64(parts)) >> U64(32)  # rises with h
-    start = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-    need = len(h) // 4 + 1
-    sums = np.add.reduceat(h * U64(0x9E3779B97F4A7C15), start)
-    out = (sums ^ (sums >> U64(29))) * U64(0xBF58476D1CE4E5B9) + (of[start] * U64(64) + U64(c)) * U64(0x94D049BB133111EB)
-    if len(out) < need:
-        return np.append(out, U64(_mix(c + 1)))
-    return out[:need]
-
-
-def parity_map(h: np.ndarray, c: int) -> np.ndarray:
-    """Words whose bits say if an odd number of hashes falls on each: two sets differ in at least as many shingles as their maps in bits."""
-    bits = min(MOST_BITS, -(-(2 << c) // 64) * 64)
-    odd = np.bincount((h % U64(bits)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(bool), bitorder="little").view(U64)
+    size = sets.sizes[rows]
+    at = np.repeat(sets.bounds[rows] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    h, of = sets.h[at], np.repeat(np.arange(len(rows)), size)
+    parts = np.maximum(16, -(-(2 << c) // 3)).astype(U64)
+    part = ((h >> U64(32)) * parts[of]) >> U64(32)  # rises with h
+    start = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (of[1:] != of[:-1]))) if len(h) else np.empty(0, np.int64)
+    sums = np.add.reduceat(h * U64(0x9E3779B97F4A7C15), start) if len(h) else h
+    row = of[start]
+    sig = mix(mix(sums) + part[start] * U64(64) + c[row].astype(U64))
+    if whole:
+        return sig, np.bincount(row, minlength=len(rows))
+    last = np.zeros(len(sig), bool)
+    if len(hot):
+        k = np.searchsorted(hot, sig)
+        last = hot[np.minimum(k, len(hot) - 1)] == sig
+    order = np.lexsort((np.arange(len(sig)), last, row))
+    sig, row = sig[order], row[order]
+    first = np.searchsorted(row, np.arange(len(rows) + 1))
+    rank = np.arange(len(sig)) - first[row]
+    need = size // 4 + 1
+    keep = rank < need[row]
+    poor = np.flatnonzero(np.diff(first) < need)
+    out, owner = np.append(sig[keep], mix(c[poor].astype(U64) + U64(1))), np.append(row[keep], poor)
+    order = np.argsort(owner, kind="stable")
+    return out[order], np.bincount(owner, minlength=len(rows))
+
+
+def parity_maps(sets: Sets, rows: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
+    """For each set words whose bits say if an odd number of hashes falls on each: two sets differ in at least as many shingles as their maps in bits."""
+    bits = np.minimum(MOST_BITS, -(-(2 << c) // 64) * 64)
+    base = np.cumsum(bits) - bits
+    size = sets.sizes[rows]
+    at = np.repeat(sets.bounds[rows] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    of = np.repeat(np.arange(len(rows)), size)
+    odd = np.bincount(base[of] + (sets.h[at] % bits[of].astype(U64)).astype(np.int64), minlength=int(bits.sum())) & 1
+    return np.split(np.packbits(odd.astype(bool), bitorder="little").view(U64), (np.cumsum(bits) // 64)[:-1])
 
 
 def spanning(n: np.ndarray, maps: np.ndarray, check=None) -> list[tuple[int, int]]:
@@ -121,7 +174,7 @@ def _links(pairs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def sets(docs: DataFrame, id_col: str, text_col: str, words: int, keep: tuple[str, ...] = (), *, marks: bool = True) -> DataFrame:
+def sets(docs: DataFrame, id_col: str, text_col: str, words: int, keep: tuple[str, ...] = (), *, marks: bool = False, hot: np.ndarray = NONE) -> DataFrame:
     """(id_col, keep, fp long): the key of every text's shingle set; with marks also its size, signatures by class and parity maps."""
     cols = [id_col, *keep]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols)
@@ -130,28 +183,55 @@ def sets(docs: DataFrame, id_col: str, text_col: str, words: int, keep: tuple[st
         from xxhash import xxh64_intdigest
 
         for b in tidied(batches):
-            texts = b.column("__text")
-            for lo in range(0, b.num_rows, 256):
-                got: list[tuple] = []
-                for t in texts.slice(lo, 256).to_pylist():
-                    h = shingle_set(t, words, xxh64_intdigest)
-                    if not marks:
-                        got.append((set_key(h, xxh64_intdigest),))
-                        continue
-                    cs = classes(len(h)) if len(h) else []
-                    got.append((
-                        set_key(h, xxh64_intdigest), len(h), np.concatenate([signatures(h, c) for c in cs]).tobytes() if cs else b"",
-                        cs, [parity_map(h, c).tobytes() for c in cs], [len(signatures(h, c)) for c in cs],
-                    ))
-                kinds_ = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32())]
+            lo = 0
+            for own in shingle_sets(b.column("__text"), words):
+                n = len(own.sizes)
+                arrays = [pa.array([set_key(own[i], xxh64_intdigest) for i in range(n)], pa.int64())]
+                if marks:
+                    some = np.flatnonzero(own.sizes)
+                    c, two = size_classes(own.sizes[some])
+                    sigs, cls, maps, counts = ([[] for _ in range(n)] for _ in range(4))
+                    for rows, c in ((some, c), (some[two], c[two] + 1)):
+                        sig, count = signatures(own, rows, c, hot)
+                        bound = np.append(0, np.cumsum(count)).tolist()
+                        for k, (i, name, m, number) in enumerate(zip(rows.tolist(), c.tolist(), parity_maps(own, rows, c), count.tolist())):
+                            sigs[i].append(sig[bound[k] : bound[k + 1]].tobytes())
+                            cls[i].append(name)
+                            maps[i].append(m.tobytes())
+                            counts[i].append(number)
+                    arrays += [
+                        pa.array(own.sizes, pa.int32()), pa.array([b"".join(x) for x in sigs], pa.binary()), pa.array(cls, pa.list_(pa.int32())),
+                        pa.array(maps, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int32())),
+                    ]
                 names = ["fp", "n", "sigs", "cls", "maps", "counts"]
-                arrays = [pa.array(v, k) for v, k in zip(zip(*got), kinds_)]
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, 256) for c in cols), *arrays], [*cols, *names[: len(arrays)]])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, n) for c in cols), *arrays], [*cols, *names[: len(arrays)]])
+                lo += n
 
     more = ", n int, sigs binary, cls array<int>, maps array<binary>, counts array<int>" if marks else ""
     return docs.select(*cols, F.col(text_col).alias("__text")).mapInArrow(run, f"{kinds}, fp long{more}")
 
 
+def common_parts(docs: DataFrame, id_col: str, text_col: str, words: int, n: int) -> np.ndarray:
+    """Signatures of the parts that many texts share, by a sample of documents: at most MOST_HOT, sorted.
+
+    They only set the order of parts (see `signatures`), not which pairs are found.
+    """
+
+    def run(batches):
+        for b in tidied(batches):
+            for own in shingle_sets(b.column("__text"), words):
+                some = np.flatnonzero(own.sizes)
+                c, two = size_classes(own.sizes[some])
+                for rows, c in ((some, c), (some[two], c[two] + 1)):
+                    yield pa.RecordBatch.from_arrays([pa.array(signatures(own, rows, c, NONE, whole=True)[0].view(np.int64))], ["sig"])
+
+    share = max(1, min(256, n // 4_000))
+    some = docs.where(F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(share)) == 0).select(F.col(text_col).alias("__text"))
+    often = some.mapInArrow(run, "sig long").groupBy("sig").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= HOT_IN_SAMPLE)
+    got = often.orderBy(F.desc("k"), "sig").limit(MOST_HOT).select("sig").toArrow()
+    return np.sort(np.asarray(got.column("sig"), np.int64).view(U64))
+
+
 def _candidates(own: DataFrame) -> DataFrame:
     """Links (a, b) of set keys that span the components of all pairs which share a signature and are not excluded by size or parity map."""
     spark = own.sparkSession
@@ -168,32 +248,55 @@ def _candidates(own: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.repeat(fps, [sum(m) for m in counts])), pa.array(c.astype(np.int8), pa.int8())], ["sig", "fp", "c"])
 
     def shared(batches):
-        """Rows whose signature a neighbour has too."""
-        last, told = None, False
+        """Rows whose signature another set has too, named by a hash of all sets that have it: signatures of the same sets then meet as one.
+
+        The sets of a signature that goes on beyond MOST_HELD rows are named by the signature.
+        """
+
+        def told(name, f, c):
+            return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(f), pa.array(c, pa.int8())], ["name", "fp", "c"])
+
+        held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int8))
+        flows = None
+
+        def close(s, f, c):
+            cut = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+            size = np.diff(np.append(cut, len(s)))
+            keep = np.repeat(size > 1, size)
+            name = np.repeat(mix(np.add.reduceat(mix(f.view(U64)), cut)), size)
+            return told(name[keep], f[keep], c[keep])
+
         for b in tidied(batches):
-            if not b.num_rows:
+            s, f, c = (np.concatenate([x, np.asarray(b.column(k))]) for x, k in zip(held, ("sig", "fp", "c")))
+            if flows is not None:
+                on = int(np.searchsorted(s != flows, True))
+                if on:
+                    yield told(mix(s[:on].view(U64)), f[:on], c[:on])
+                s, f, c = s[on:], f[on:], c[on:]
+            if not len(s):
+                held = (s, f, c)
                 continue
-            s = np.asarray(b.column("sig"))
-            same = s[1:] == s[:-1]
-            keep = np.append(same, False) | np.append(False, same)
-            if last is not None and last.column("sig")[0].as_py() == s[0]:
-                keep[0] = True
-                if not told:
-                    yield last
-            told = bool(keep[-1])
-            yield b.filter(pa.array(keep))
-            last = pa.RecordBatch.from_arrays([pa.array([b.column(k)[b.num_rows - 1].as_py()], f.type) for k, f in zip(b.schema.names, b.schema)], b.schema.names)
+            flows = None
+            edge = len(s) - int(np.searchsorted(s[::-1] != s[-1], True))  # the last signature may go on
+            if edge:
+                yield close(s[:edge], f[:edge], c[:edge])
+            held = (s[edge:], f[edge:], c[edge:])
+            if len(held[0]) > MOST_HELD:
+                yield told(mix(held[0].view(U64)), held[1], held[2])
+                flows, held = held[0][0], tuple(x[:0] for x in held)
+        if len(held[0]):
+            yield close(*held)
 
     rows = one.mapInArrow(spread, "sig long, fp long, c tinyint")
-    rows = rows.repartition(shuffle_partitions(spark), "sig").sortWithinPartitions("sig").mapInArrow(shared, "sig long, fp long, c tinyint")
-    rows = written(rows, "sets-shared")
+    rows = rows.repartition(shuffle_partitions(spark), "sig").sortWithinPartitions("sig", "fp").mapInArrow(shared, "name long, fp long, c tinyint")
+    rows = written(rows.distinct(), "sets-shared")
     maps = own.select("fp", "n", F.explode(F.arrays_zip("cls", "maps")).alias("m")).select("fp", F.col("m.cls").cast("tinyint").alias("c"), "n", F.col("m.maps").alias("map"))
     maps = maps.groupBy("fp", "c").agg(F.any_value("n").alias("n"), F.any_value("map").alias("map"))
-    full = rows.join(maps.hint("merge"), ["fp", "c"]).select("sig", "fp", "c", "n", "map")
+    full = rows.join(maps.hint("merge"), ["fp", "c"]).select("name", "fp", "c", "n", "map")
 
     def compare(batches):
         links: list[tuple[int, int]] = []
-        for t in _groups(batches, "sig"):
+        for t in _groups(batches, "name"):
             if t.num_rows > 1:
                 cls = np.asarray(t.column("c"))
                 for c in np.unique(cls).tolist():
@@ -207,7 +310,7 @@ def _candidates(own: DataFrame) -> DataFrame:
         if links:
             yield _links(links)
 
-    return full.repartition(shuffle_partitions(spark), "sig").sortWithinPartitions("sig", "fp").mapInArrow(compare, "a long, b long").distinct()
+    return full.repartition(shuffle_partitions(spark), "name").sortWithinPartitions("name", "fp").mapInArrow(compare, "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
@@ -228,7 +331,8 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Returns id_col, fp long, component_id.
     """
     docs = docs.select(id_col, text_col)
-    own = written(sets(docs, id_col, text_col, words), "sets")
+    hot = common_parts(docs, id_col, text_col, words, docs.count())
+    own = written(sets(docs, id_col, text_col, words, marks=True, hot=hot), "sets")
     least = written(own.groupBy("fp").agg(F.min(id_col).alias("least")), "sets-least")
     groups = connected_components(_candidates(own))
     asked = written(least.join(groups, F.col("fp") == F.col("node")).select("fp", "component", "least"), "sets-asked")
@@ -242,15 +346,19 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         links: list[tuple[int, int]] = []
         for t in _groups(batches, "component"):
             of: dict[int, np.ndarray] = {}
-            for k, text in zip(t.column("k").to_pylist(), t.column("t").to_pylist()):
-                h = shingle_set(text, words, xxh64_intdigest)
-                if k not in of and set_key(h, xxh64_intdigest) == k:  # not another row of the id
-                    of[k] = h
+            keys = iter(t.column("k").to_pylist())
+            for got in shingle_sets(t.column("t"), words):
+                for i in range(len(got.sizes)):
+                    k = next(keys)
+                    if k not in of and set_key(got[i], xxh64_intdigest) == k:  # not another row of the id
+                        of[k] = got[i].copy()
             keys, hs = list(of), list(of.values())
             if len(keys) > 1:
-                c = max(len(h) for h in hs).bit_length() - 1
-                maps = np.stack([parity_map(h, c) for h in hs])
-                links += [(keys[i], keys[j]) for i, j in spanning(np.array([len(h) for h in hs], np.int64), maps, lambda i, j: similar(hs[i], hs[j]))]
+                n = np.array([len(h) for h in hs])
+                all_ = Sets(np.concatenate(hs), np.repeat(np.arange(len(hs)), n), len(hs))
+                c = np.full(len(hs), int(n.max()).bit_length() - 1)
+                maps = np.stack(parity_maps(all_, np.arange(len(hs)), c))
+                links += [(keys[i], keys[j]) for i, j in spanning(n, maps, lambda i, j: similar(hs[i], hs[j]))]
             if len(links) > 50_000:
                 yield _links(links)
                 links = []
@@ -268,8 +376,4 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 def drop_similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """docs, all columns, with one document of each group of similar_documents, as drop_near_duplicates keeps it."""
-
-    def mark(df, *, id_col, text_col, keep):
-        return sets(df, id_col, text_col, words, keep, marks=False)
-
-    return drop_near_duplicates(docs, id_col=id_col, text_col=text_col, find=similar_documents, mark=mark, words=words)
+    return drop_near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, similarity=0.8)

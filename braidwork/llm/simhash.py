@@ -205,9 +205,16 @@ def _by_variants(fps: DataFrame) -> DataFrame:
     return each.join(least, ["w", "rest"]).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, max_bucket: int = MAX_BUCKET, similarity: float | None = None,
+) -> DataFrame:
     """Every document with its fingerprint and the least id of its group of near-duplicates.
 
+    With `similarity` (0.8) groups are those of texts whose sets of shingles
+    have this Jaccard similarity or more.  Their fingerprints differ in up to
+    eleven bits and more, which no deletion variants reach: the candidates then
+    come from setjoin's exact search instead, and fp is the key of the set.
+
     Texts are lower-cased (A-Z), cut at ASCII white space and taken as shingles
     of `words` words, repeats included (fewer words: all of them as one); a bit
     of the fingerprint is set if it is set in over half of the shingles' XXH64
@@ -222,6 +229,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Returns id_col, fp long, fingerprint (16 hex digits), component_id.
     """
+    if similarity is not None:
+        from .setjoin import similar_documents
+
+        if similarity != 0.8:
+            raise ValueError("similarity: only 0.8 is built")
+        return similar_documents(docs, id_col=id_col, text_col=text_col, words=words)
     own = written(fingerprints(docs.select(id_col, text_col), id_col=id_col, text_col=text_col, words=words), "simhash")
     least = own.groupBy("fp").agg(F.min(id_col).alias("least"))
     links = link_fingerprints(least.select("fp"), max_bucket)
@@ -235,13 +248,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return own.join(of, "fp").select(id_col, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates, mark=fingerprints, **options) -> DataFrame:
-    """docs, all columns, with one document of each group of `find`: that of the least id.
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, **options) -> DataFrame:
+    """docs, all columns, with one document of each group of near_duplicates: that of the least id.
 
     Of rows that repeat that id in a group one stays.  Rows of null id stay
     only if their group has no id, one of each group.
     """
-    near = find(docs, id_col=id_col, text_col=text_col, **options)
+    near = near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, **options)
     near = written(near.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col, "fp").agg(F.count(F.lit(1)).alias("n")), "simhash-keep")
     repeats = not near.where("n > 1").isEmpty() or not near.where(F.col(id_col).isNull()).isEmpty()
     if not repeats:  # ids are unique among what stays
@@ -251,7 +264,10 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
         # the kept ids grow with the input: the same shuffled join at every size
         return docs.join(near.select(F.col(id_col).alias("__id")).hint("merge"), F.col(id_col) == F.col("__id"), "left_semi")
     own, of = hidden(docs)
-    marked = mark(own, id_col=of(id_col), text_col=of(text_col), keep=tuple(c for c in own.columns if c != of(id_col)))
+    mark = fingerprints
+    if options.get("similarity") is not None:
+        from .setjoin import sets as mark
+    marked = mark(own, id_col=of(id_col), text_col=of(text_col), words=words, keep=tuple(c for c in own.columns if c != of(id_col)))
     best = near.groupBy("fp").agg(F.min(id_col).alias("id")).select(F.col("fp").alias("k"), "id")
     out = marked.join(best, (F.col("fp") == F.col("k")) & F.col(of(id_col)).eqNullSafe(F.col("id")), "left_semi")
     return out.dropDuplicates([of(id_col), "fp"]).select(*own.columns).toDF(*docs.columns)

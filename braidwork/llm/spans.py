@@ -1,21 +1,24 @@
 """Vectorised words and hashes over the bytes of an Arrow text column.
 
 Texts are looked at as one UTF-8 byte buffer.  Word spans come from a table of
-byte classes; hashes of spans are polynomial hashes modulo 2**64 from prefix
-sums, so no Python object is made per word.
+byte classes; hashes of spans are made for all spans together, so no Python
+object is made per word.
 """
 
 from __future__ import annotations
 
 import ctypes
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-BLOCK = 1 << 18
-BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+#: A factor and the salts of the two hashes.
+STEP = 0x9E3779B97F4A7C15
+SALTS = (0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7)
+#: Bytes of a span that are hashed together with other spans.
+LONG = 128
+#: What is kept of eight bytes of which only the first n belong to a span.
+TAILS = np.array([(1 << (8 * n)) - 1 for n in range(9)], U64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -97,20 +100,6 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray):
     return starts, ends, np.searchsorted(starts, offsets, "left")
 
 
-@lru_cache(8)
-def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.empty(BLOCK, U64)
-    down = np.empty(BLOCK, U64)
-    inverse = pow(base, -1, 1 << 64)
-    for out, b in ((up, base), (down, inverse)):
-        out[0] = 1
-        n = 1
-        while n < BLOCK:  # doubling
-            out[n : 2 * n] = out[:n] * U64(pow(b, n, 1 << 64))
-            n *= 2
-    return up, down
-
-
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     h = h ^ U64(salt)
     h = (h ^ (h >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -119,48 +108,53 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of every span of `values` (bytes or code points)."""
-    base = BASES[which]
-    up, down = _powers(base)
-    out = np.empty(len(starts), U64)
-    lo, n = 0, len(starts)
-    while lo < n:
-        at = starts[lo]
-        hi = int(np.searchsorted(ends, at + BLOCK - 1, "right"))
-        if hi <= lo:  # one span longer than a block
-            h, scale = 0, 1
-            for k in range(int(at), int(ends[lo]), BLOCK - 1):
-                part = values[k : min(k + BLOCK - 1, int(ends[lo]))].astype(U64) + U64(1)
-                h = (h + int((part * up[: len(part)]).sum(dtype=U64)) * scale) % (1 << 64)
-                scale = scale * pow(base, len(part), 1 << 64) % (1 << 64)
-            out[lo] = h
-            lo += 1
-            continue
-        seg = values[at : ends[hi - 1]].astype(U64)
-        seg += U64(1)
-        seg *= up[: len(seg)]
-        total = np.zeros(len(seg) + 1, U64)
-        np.cumsum(seg, out=total[1:])
-        a, b = starts[lo:hi] - at, ends[lo:hi] - at
-        out[lo:hi] = (total[b] - total[a]) * down[a]
-        lo = hi
-    return mix(out + (ends - starts).astype(U64) * U64(0xA24BAED4963EE407))
+    """A 64-bit hash of every span of `values` (bytes or code points); each `which` is a hash of its own.
+
+    Eight bytes at a time are mixed in, one after another, over all spans
+    together: no sum over positions that a pattern of letters could cancel.
+    Spans beyond LONG bytes, which are rare, go through XXH3 one by one.
+    """
+    width = values.dtype.itemsize
+    if width > 1:
+        values, starts, ends = np.ascontiguousarray(values).view(np.uint8), starts * width, ends * width
+    size = ends - starts
+    h = mix(size.astype(U64) * U64(STEP), SALTS[which])
+    if not len(h):
+        return h
+    eight = np.ndarray((len(values) + 1,), "<u8", np.concatenate([values, np.zeros(8, np.uint8)]), strides=(1,))
+    rows = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left = starts[rows], size[rows]
+    while len(rows):
+        v = eight[at]
+        v &= TAILS[np.minimum(left, 8)]
+        h[rows] = mix(h[rows] ^ v)
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    far = np.flatnonzero(size > LONG)
+    if len(far):
+        from xxhash import xxh3_64_intdigest
+
+        h[far] = [xxh3_64_intdigest(values[a:b].data, SALTS[which]) for a, b in zip(starts[far].tolist(), ends[far].tolist())]
+    return h
 
 
 def window_hashes(h: np.ndarray, n: int, which: int = 0) -> np.ndarray:
-    """Hashes of all runs of n consecutive values of h; length len(h) - n + 1, or none."""
+    """Hashes of all runs of n consecutive values of h; length len(h) - n + 1, or none.
+
+    Runs are put together from runs of powers of two, mixed at each step.
+    """
     if n < 1 or len(h) < n:
         return np.empty(0, U64)
-    base = BASES[1 - which]
     out, done, block, size = None, 0, h, 1
+    salt = SALTS[1 - which]
     while True:
         if n & size:
             # what is gathered so far stands before this block
-            out = block if out is None else out[: len(block) - done] * U64(pow(base, size, 1 << 64)) + block[done:]
+            out = block if out is None else mix(out[: len(block) - done] * U64(STEP) + block[done:], salt)
             done += size
         if size * 2 > n:
             break
-        block = block[:-size] * U64(pow(base, size, 1 << 64)) + block[size:] if len(block) > size else block[:0]
+        block = mix(block[:-size] * U64(STEP) + block[size:], salt) if len(block) > size else block[:0]
         size *= 2
     return mix(out[: len(h) - n + 1], n)
 

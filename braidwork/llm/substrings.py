@@ -188,7 +188,7 @@ def repeated_words(
             for a, b in zip(cut, [*cut[1:], len(part)]):
                 ids = own.ids[r[a:b]].view(U64) ^ U64(1 << 63)  # keeps the order of signed numbers
                 low = ids.min()
-                out.append((name, int(part[a]), squeeze_sorted(k1[a:b]), squeeze(k2[a:b] >> U64(24)), int(low.view(np.int64)), squeeze(ids - low), squeeze(r[a:b].astype(U64)), squeeze(s[a:b].astype(U64))))
+                out.append((name, int(part[a]), squeeze_sorted(k1[a:b]), squeeze(k2[a:b]), int(low.view(np.int64)), squeeze(ids - low), squeeze(r[a:b].astype(U64)), squeeze(s[a:b].astype(U64))))
         c = list(zip(*out)) or [()] * 8
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         return pa.table([pa.array(v, k) for v, k in zip(c, kinds)], ["chunk", "part", "k1", "k2", "low", "ids", "rows", "starts"])

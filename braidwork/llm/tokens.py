@@ -115,27 +115,43 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.sizes, self.begin, self.flat = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+        """Known pieces: sorted hashes with their numbers, and by number the piece itself and its stretch of ids."""
+        self.keys, self.number = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.pieces: list[str] = []
+        self.sizes, self.begin, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
 
-    def _known(self, h: np.ndarray, whole: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Rows of the table of known pieces for sorted distinct hashes h, after merging those not yet in it."""
-        if len(self.keys) > CACHE_PIECES:
+    def _learn(self, new: list[str]) -> np.ndarray:
+        """The numbers that the pieces get, which are merged here."""
+        merge = self.merge
+        lists = [merge(x.encode()) for x in new]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        first = len(self.pieces)
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))])
+        self.pieces += new
+        return np.arange(first, len(self.pieces))
+
+    def _known(self, h: np.ndarray, own: list[str]) -> np.ndarray:
+        """Numbers of the distinct pieces `own` of sorted hashes h, after merging those not yet known.
+
+        A hash only leads to a piece, which is then compared letter by letter.
+        """
+        if len(self.pieces) > CACHE_PIECES:
             self._forget()
         at = np.searchsorted(self.keys, h)
         miss = at == len(self.keys)
         miss[~miss] = self.keys[at[~miss]] != h[~miss]
-        if not miss.any():
-            return at
-        merge = self.merge
-        lists = [merge(whole[a:b].encode()) for a, b in zip(starts[miss].tolist(), ends[miss].tolist())]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        begin = len(self.flat) + np.cumsum(sizes) - sizes
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))])
-        where = at[miss]
-        self.keys = np.insert(self.keys, where, h[miss])
-        self.sizes = np.insert(self.sizes, where, sizes)
-        self.begin = np.insert(self.begin, where, begin)
-        return at + np.cumsum(miss) - miss
+        out = np.empty(len(h), np.int64)
+        out[~miss] = self.number[at[~miss]]
+        pieces = self.pieces
+        other = [i for i, n in zip(np.flatnonzero(~miss).tolist(), out[~miss].tolist()) if pieces[n] != own[i]]
+        if miss.any():
+            out[miss] = self._learn([own[i] for i in np.flatnonzero(miss).tolist()])
+            self.keys, self.number = np.insert(self.keys, at[miss], h[miss]), np.insert(self.number, at[miss], out[miss])
+        if other:  # another piece has this hash: known by number only
+            out[other] = self._learn([own[i] for i in other])
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as int32 arrays."""
@@ -165,7 +181,10 @@ class Encoder:
             return [np.empty(0, np.int32) for _ in texts]
         ends = np.append(starts[1:], len(cp))
         h, where, of = np.unique(span_hashes(cp, starts, ends), return_index=True, return_inverse=True)
-        at = self._known(h, whole, starts[where], ends[where])
+        second = span_hashes(cp, starts, ends, 1)
+        if (second != second[where][of]).any() or (ends - starts != (ends - starts)[where][of]).any():  # pieces that share a hash here
+            return [np.array(x.ids, np.int32) for x in self.library.encode_batch(texts, add_special_tokens=False)]
+        at = self._known(h, [whole[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())])
         sizes, begin, flat = self.sizes[at], self.begin[at], self.flat
         each = sizes[of]
         upto = np.cumsum(each)
