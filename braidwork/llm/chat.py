@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from itertools import groupby
 
 import numpy as np
@@ -14,12 +15,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import shuffle_partitions
 from .spans import tidied
+from .tokens import encoder
 
 #: The marks around a turn, by role; other roles are written out between OTHER's marks.
 MARKS = {"user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
 OTHER = ("[ROLE]", "[/ROLE]", "[/TURN]")
 LOSS_ROLE = "assistant"
-#: Characters after which a conversation is encoded in a further part, cut between turns.
+#: Characters after which a conversation goes on in a further row, cut where no id depends on both sides.
 PART_CHARS = 1_000_000
 #: Characters encoded in one call.
 STEP_CHARS = 200_000
@@ -57,11 +59,18 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
 
 def parse(formatted: str) -> list[tuple[str, str]]:
     """The (role, text) turns of a formatted text."""
+    return whole_turns(formatted)[0]
+
+
+def whole_turns(formatted: str) -> tuple[list[tuple[str, str]], int]:
+    """(the turns that end within the beginning of a formatted text, where the last of them ends)."""
     opens = {a: role for role, (a, _) in MARKS.items()}
     turns, marks = [], [(m.start(), m.end(), m[1]) for m in _SCAN.finditer(formatted) if m[1]]
-    i = 0
+    i = end = 0
     while i < len(marks):
         _, a, mark = marks[i]
+        if i + (2 if mark == OTHER[0] else 1) >= len(marks):
+            break
         if mark == OTHER[0]:
             role = unescape(formatted[a : marks[i + 1][0]])
             turns.append((role, unescape(formatted[marks[i + 1][1] : marks[i + 2][0]])))
@@ -69,7 +78,8 @@ def parse(formatted: str) -> list[tuple[str, str]]:
         else:
             turns.append((opens[mark], unescape(formatted[a : marks[i + 1][0]])))
             i += 2
-    return turns
+        end = marks[i - 1][1]
+    return turns, end
 
 
 def align(spans: list[tuple[int, int]], starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,9 +131,12 @@ def format_chat(
     edge of a turn.
 
     Rows are dealt by conv_col and sorted by conv_col, turn_col, role_col,
-    text_col; a task streams through its sorted rows and holds one part at a
-    time.  A conversation longer than `part_chars` is encoded in parts, cut
-    between turns, that follow each other as rows of one task.
+    text_col; a task streams through its sorted rows.  A conversation longer
+    than `part_chars` is given in several rows that follow each other in one
+    task.  They are cut where a word piece of the tokenizer starts, so that the
+    ids are those of one encoding of the whole; token offsets count from the
+    start of the part.  With a tokenizer of other than byte-level pieces there
+    are no parts.
 
     Null text or role: empty.  Null turn: before the others.  Null conv_col:
     one conversation of that id.  Repeated rows are repeated turns.  Empty
@@ -137,44 +150,64 @@ def format_chat(
     rows = rows.repartition(shuffle_partitions(conversations.sparkSession), "c").sortWithinPartitions("c", "n", "r", "t")
 
     def run(batches):
-        from tokenizers import Tokenizer
+        enc = encoder(tokenizer_path)
+        id_type = None
 
-        tok = Tokenizer.from_file(tokenizer_path)
-        tok.encode_special_tokens = True
-
-        def emit(parts, id_type):
-            texts = [render(turns) for _, _, turns in parts]
+        def emit(parts):
             cols: list[list] = [[], [], [], [], []]
-            for (formatted, spans), e in zip(texts, tok.encode_batch([x for x, _ in texts], add_special_tokens=False)):
-                off = np.array(e.offsets, np.int32).reshape(-1, 2)
-                lo, hi = align(spans, off[:, 0], off[:, 1])
-                for c, v in zip(cols, (np.array(e.ids, np.int32), off[:, 0].copy(), off[:, 1].copy(), lo, hi)):
+            for (_, _, _, spans), (ids, starts, ends) in zip(parts, enc.encode_with_offsets([p[2] for p in parts])):
+                lo, hi = align(spans, starts, ends)
+                for c, v in zip(cols, (ids, starts, ends, lo, hi)):
                     c.append(v)
             ints = pa.list_(pa.int32())
             return pa.RecordBatch.from_arrays(
-                [pa.array([c for c, _, _ in parts], id_type), pa.array([p for _, p, _ in parts], pa.int32()), pa.array([x for x, _ in texts], pa.string()), *(pa.array(c, ints) for c in cols)],
+                [pa.array([p[0] for p in parts], id_type), pa.array([p[1] for p in parts], pa.int32()), pa.array([p[2] for p in parts], pa.string()), *(pa.array(c, ints) for c in cols)],
                 [conv_col, "part", "formatted", "token_ids", "token_starts", "token_ends", "loss_from", "loss_to"],
             )
 
+        def parts():
+            """(conversation, part, formatted text, loss spans) in order."""
+            nonlocal id_type
+            conv, part, turns, size, begun = None, 0, [], 0, False
+            rest, rest_spans = "", []
+
+            def rendered():
+                nonlocal rest, rest_spans, turns
+                text, spans = render(turns)
+                rest_spans = rest_spans + [(a + len(rest), b + len(rest)) for a, b in spans]
+                rest, turns = rest + text, []
+
+            for b in tidied(batches):
+                id_type = b.schema.field("c").type
+                for c, r, t in zip(b.column("c").to_pylist(), b.column("r").to_pylist(), b.column("t").to_pylist()):
+                    if begun and c != conv:
+                        rendered()
+                        yield conv, part, rest, rest_spans
+                        part, size, rest, rest_spans = 0, 0, "", []
+                    elif size > part_chars:
+                        rendered()
+                        cut = enc.safe_cut(rest)
+                        if cut:
+                            yield conv, part, rest[:cut], [(x, min(y, cut)) for x, y in rest_spans if x < cut]
+                            rest, rest_spans = rest[cut:], [(max(x - cut, 0), y - cut) for x, y in rest_spans if y > cut]
+                            part += 1
+                        size = 0
+                    conv, begun = c, True
+                    turns.append((r, t))
+                    size += len(t) + len(r)
+            if begun:
+                rendered()
+                yield conv, part, rest, rest_spans
+
         ready, held = [], 0
-        conv, part, turns, size, id_type, begun = None, 0, [], 0, None, False
-        for b in tidied(batches):
-            id_type = b.schema.field("c").type
-            for c, r, t in zip(b.column("c").to_pylist(), b.column("r").to_pylist(), b.column("t").to_pylist()):
-                if begun and (c != conv or size > part_chars):
-                    ready.append((conv, part, turns))
-                    held += size
-                    part, turns, size = (part + 1 if c == conv else 0), [], 0
-                    if held > STEP_CHARS or len(ready) >= 200:
-                        yield emit(ready, id_type)
-                        ready, held = [], 0
-                conv, begun = c, True
-                turns.append((r, t))
-                size += len(t) + len(r)
-        if begun:
-            ready.append((conv, part, turns))
+        for p in parts():
+            ready.append(p)
+            held += len(p[2])
+            if held > STEP_CHARS or len(ready) >= 200:
+                yield emit(ready)
+                ready, held = [], 0
         if ready:
-            yield emit(ready, id_type)
+            yield emit(ready)
 
     return rows.mapInArrow(run, f"`{conv_col}` {kind}, {SCHEMA}")
 
@@ -202,14 +235,23 @@ def digests(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
         for _, group in groupby(parts(), which):
             turns, loss = hashlib.sha256(), hashlib.sha256()
             n = loss_chars = chars = 0
+            rest, at, to = "", [], []  # a turn may go on in the next part
             for conv, _, text, lo, hi in group:
-                for role, body in parse(text):
+                chars += len(text)
+                for x, y in zip(lo, hi):
+                    if x < y:
+                        at.append(x + len(rest))
+                        to.append(y + len(rest))
+                rest += text
+                own, end = whole_turns(rest)
+                for role, body in own:
                     n += 1
                     turns.update(f"{role}\n{body}\n".encode())
-                for x in loss_texts(text, lo, hi):
+                k = bisect_right(at, end - 1)  # masks do not reach beyond their turn
+                for x in loss_texts(rest, at[:k], to[:k]):
                     loss_chars += len(x)
                     loss.update(x.encode())
-                chars += len(text)
+                rest, at, to = rest[end:], [x - end for x in at[k:]], [x - end for x in to[k:]]
             out.append((conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
             if len(out) >= 5000:
                 yield rows_of(out, id_type)

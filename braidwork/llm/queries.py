@@ -19,7 +19,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 def op1_bsi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k
 
-    return top_k(_table(spark, sf_dir, "embeddings"))
+    return top_k(_table(spark, sf_dir, "embeddings"), bound=None)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

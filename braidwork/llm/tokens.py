@@ -112,6 +112,9 @@ class Encoder:
             if by_id == [*range(len(by_id))]:  # ids in the order of the merges, so they serve as ranks
                 core = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
                 self.merge = core._core_bpe.encode_single_piece
+                self.id_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+                for t, i in ranks.items():
+                    self.id_bytes[i] = len(t)
         self._forget()
 
     def _forget(self) -> None:
@@ -153,7 +156,43 @@ class Encoder:
             out[other] = self._learn([own[i] for i in other])
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode_with_offsets(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids, start and end of each id in characters) of each text; special tokens in it are plain text.
+
+        An id that ends within a character covers it.
+        """
+        if self.merge is None:
+            self.library.encode_special_tokens = True
+            try:
+                got = [(np.array(e.ids, np.int32), np.array(e.offsets, np.int32).reshape(-1, 2)) for e in self.library.encode_batch(texts, add_special_tokens=False)]
+            finally:
+                self.library.encode_special_tokens = False
+            return [(ids, off[:, 0].copy(), off[:, 1].copy()) for ids, off in got]
+        out = []
+        for text, ids in zip(texts, self.encode(texts, special=False)):
+            ends = np.cumsum(self.id_bytes[ids])
+            starts = ends - self.id_bytes[ids]
+            if not text.isascii():
+                raw = np.frombuffer(text.encode(), np.uint8)
+                upto = np.append(0, np.cumsum((raw & 0xC0) != 0x80))  # characters begun before a byte
+                starts, ends = upto[starts + 1] - 1, upto[ends]
+            out.append((ids, starts.astype(np.int32), ends.astype(np.int32)))
+        return out
+
+    def safe_cut(self, text: str) -> int:
+        """Characters of text after which it may be cut, whatever follows, without another id; 0: nowhere.
+
+        Word pieces are encoded each for itself, and where one starts depends on
+        no more than three characters behind it.
+        """
+        if self.merge is None or len(text) < 8:
+            return 0
+        cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        starts = piece_starts(cp, np.array([0, len(cp)]))
+        starts = starts[starts <= len(cp) - 4]
+        return int(starts[-1]) if len(starts) else 0
+
+    def encode(self, texts: list[str], special: bool = True) -> list[np.ndarray]:
         """The ids of each text, as int32 arrays."""
         if self.merge is None:
             return [np.array(x.ids, np.int32) for x in self.library.encode_batch(texts, add_special_tokens=False)]
@@ -167,7 +206,7 @@ class Encoder:
             out += self._encode(texts[lo:hi])
             lo = hi
         for i, t in enumerate(texts):
-            if any(s in t for s in self.special):
+            if special and any(s in t for s in self.special):
                 out[i] = np.array(self.library.encode(t, add_special_tokens=False).ids, np.int32)
         return out
 

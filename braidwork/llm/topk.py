@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BLOCK = 1 << 16
-QUERIES_PER_BLOCK = 128
-#: Quantised components are held within this bound, that scores fit a long.
+#: Queries that meet a block in one task: at most so many, and not fewer than LEAST_QUERIES for the sake of more tasks.
+QUERIES_PER_BLOCK, LEAST_QUERIES = 1 << 14, 128
+#: The default bound of quantised components.
 LIMIT = 1 << 24
+LONG = (-(1 << 63), (1 << 63) - 1)
 
 
 class SlicedBlock:
@@ -20,7 +22,8 @@ class SlicedBlock:
 
     Attribute d is held as the unsigned number x_d - min_d of `width` digits,
     and also as its complement for negative weights, so that every weighted
-    sum has terms of one sign.
+    sum has terms of one sign.  x holds int64 numbers, or Python's own where
+    those don't suffice; sums are exact at any size.
     """
 
     def __init__(self, x: np.ndarray):
@@ -51,7 +54,7 @@ class SlicedBlock:
         adders: three bitmaps of one digit become one and a carry.
         """
         columns: list[list[np.ndarray]] = []
-        left_out = int(np.dot(q, self.low))
+        left_out = sum(a * b for a, b in zip(q.tolist(), self.low.tolist()))
         for d, w in enumerate(q.tolist()):
             side = 0
             if w < 0:  # w u = -w ~u + w (2^width - 1)
@@ -123,20 +126,22 @@ class SlicedBlock:
         got = np.concatenate([rows(sure), edge])
         total = np.zeros(len(got), object)
         for b, s in enumerate(slices):
-            total += (((s[got >> 6] >> (got & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << b).astype(object)
+            total += ((s[got >> 6] >> (got & 63).astype(np.uint64)) & np.uint64(1)).astype(object) * (1 << b)
         found = [(int(t) + left_out, int(ids[r])) for t, r in zip(total, got.tolist())]
         return sorted(found, key=lambda x: (-x[0], x[1]))
 
 
-def _matrix(column: pa.Array, dims: int | None = None) -> np.ndarray:
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The vectors as rows of whole numbers, shorter ones filled with zeros."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     lengths = np.asarray(column.value_lengths())
-    flat = np.asarray(column.flatten(), np.int64)
-    dims = max(dims or 0, int(lengths.max()) if len(lengths) else 0)
-    out = np.zeros((len(column), dims), np.int64)
+    flat = np.asarray(column.flatten())
+    flat = np.array([int(x) for x in flat.tolist()], object) if flat.dtype.kind == "f" else flat.astype(np.int64)
+    dims = int(lengths.max()) if len(lengths) else 0
     if len(lengths) and (lengths == dims).all():
         return flat.reshape(len(column), dims)
+    out = np.zeros((len(column), dims), flat.dtype)
     at = 0
     for i, n in enumerate(lengths.tolist()):
         out[i, :n] = flat[at : at + n]
@@ -144,61 +149,91 @@ def _matrix(column: pa.Array, dims: int | None = None) -> np.ndarray:
     return out
 
 
+def beyond(score: int) -> bytes:
+    """What orders scores that don't fit a long, in bytes that sort as they do."""
+    if LONG[0] <= score <= LONG[1]:
+        return b"\x01"
+    size = abs(score).to_bytes((abs(score).bit_length() + 7) // 8, "big")
+    key = len(size).to_bytes(2, "big") + size
+    return b"\x02" + key if score > 0 else b"\x00" + bytes(255 - x for x in key)
+
+
+def layout(n: int, n_queries: int, rows_per_block: int, queries_per_block: int, cores: int) -> tuple[int, int]:
+    """(blocks of rows, groups of queries): more groups than queries_per_block asks for only while there are fewer tasks than twice the cores."""
+    blocks = max(1, math.ceil(n / rows_per_block))
+    return blocks, max(1, math.ceil(n_queries / queries_per_block), min(math.ceil(n_queries / LEAST_QUERIES), math.ceil(2 * cores / blocks)))
+
+
 def top_k(
     vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0, k: int = 5, query_modulus: int = 50,
-    rows_per_block: int = ROWS_PER_BLOCK, queries_per_block: int = QUERIES_PER_BLOCK,
+    rows_per_block: int = ROWS_PER_BLOCK, queries_per_block: int = QUERIES_PER_BLOCK, bound: int | None = LIMIT,
 ) -> DataFrame:
     """The k greatest integer inner products of every query with all other rows, exactly.
 
-    Components are quantised to floor(scale * x).  Queries are the rows whose
-    id is divisible by query_modulus.  All rows are dealt by a hash of their id
-    into blocks of about rows_per_block, the queries into groups of about
-    queries_per_block; a block meets a group in one task, by an equi-join on
-    both numbers, builds a bit-sliced index of its rows and takes its own k
-    greatest for each query.  The k greatest of all follow from those.  Only
-    the numbers of rows and queries come to the driver, nothing is broadcast,
-    and a task holds one block whatever the input.
+    Components are quantised to floor(scale * x) and, unless `bound` is None,
+    held within it.  Queries are the rows whose id is divisible by
+    query_modulus.  All rows are dealt by a hash into blocks of about
+    rows_per_block, the queries into groups of at most about queries_per_block;
+    a block meets a group in one task, by an equi-join on both numbers, builds
+    a bit-sliced index of its rows and takes its own k greatest for each query.
+    The k greatest of all follow from those.  Rows travel once for each group
+    and queries once for each block, so the exchange is n * q * (1 /
+    queries_per_block + 1 / rows_per_block) vectors of the smallest whole
+    numbers that hold them; up to queries_per_block queries it grows with n.
+    Only the numbers of rows and queries and the greatest component come to the
+    driver, nothing is broadcast, and a task holds one block and one group.
 
     Vectors that are null or hold a null or non-finite component, and rows of
-    null id, take no part.  Rows that repeat an id count as one, with the least
-    vector.  Shorter vectors are filled with zeros; an empty one scores 0.
-    Quantised components beyond 2**24 in size are held at that bound.  Ties go
-    to the smaller id.  A query with fewer than k other rows gets them all.
+    null id, take no part.  Rows that repeat an id and a vector count as one;
+    rows of one id and other vectors are each a candidate, and each a query.
+    Shorter vectors are filled with zeros; an empty one scores 0.  Ties go to
+    the smaller id.  A query with fewer than
+    k other rows gets them all.  Without bound, scores beyond a long are ranked
+    exactly and given as the greatest or least long.
 
     Returns query_id, rank (from 1), vec_id, score.
     """
     q = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     q = q.where("id is not null and v is not null").where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    fit = lambda x: F.least(F.greatest(F.floor(x * scale), F.lit(-LIMIT)), F.lit(LIMIT)).cast("int")
-    # beyond the bound before floor(), which must fit a long
-    q = q.select("id", F.transform("v", lambda x: fit(F.least(F.greatest(x, F.lit(-2.0 * LIMIT)), F.lit(2.0 * LIMIT)))).alias("v"))
-    rows = q.groupBy("id").agg(F.min("v").alias("v"))
-    n, n_queries = vectors.select(F.count(F.lit(1)), F.count_if(F.col(id_col) % query_modulus == 0)).first()
-    blocks, groups = max(1, math.ceil(n / rows_per_block)), max(1, math.ceil(n_queries / queries_per_block))
-    left = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
+    most = float(np.finfo(np.float64).max) if bound is None else float(bound)
+
+    def whole(x):  # a double is whole from 2**52 on
+        y = x * scale
+        y = F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(y)
+        return F.least(F.greatest(y, F.lit(-most)), F.lit(most))
+
+    q = q.select("id", F.transform("v", whole).alias("v"))
+    size = F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
+    n, n_queries, top = q.select(F.count(F.lit(1)), F.count_if(F.col("id") % query_modulus == 0), F.coalesce(F.max(size), F.lit(0.0))).first()
+    kind = next((t for t, b in (("smallint", 15), ("int", 31), ("bigint", 62)) if top < 2.0**b), "double")
+    rows = q.select("id", F.col("v").cast(f"array<{kind}>").alias("v")).dropDuplicates(["id", "v"])
+    blocks, groups = layout(n, n_queries, rows_per_block, queries_per_block, vectors.sparkSession.sparkContext.defaultParallelism)
+    left = rows.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
     right = rows.where(F.col("id") % query_modulus == 0).select(
-        "id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int").alias("grp")
+        "id", "v", F.md5(F.concat_ws(",", F.col("v").cast("array<string>"))).alias("which"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+        F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(groups)).cast("int").alias("grp"),
     )
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple] = []
         if a.num_rows and b.num_rows:
             rows, weights = _matrix(a.column("v")), _matrix(b.column("v"))
             dims = max(rows.shape[1], weights.shape[1])
             rows, weights = (np.pad(m, ((0, 0), (0, dims - m.shape[1]))) for m in (rows, weights))
-            ids, queries = np.asarray(a.column("id")), np.asarray(b.column("id"))
-            order = np.argsort(ids)
+            ids = np.asarray(a.column("id"))
+            order = np.argsort(ids, kind="stable")
             for lo in range(0, len(ids), 2 * rows_per_block):
                 part = order[lo : lo + 2 * rows_per_block]
-                own = ids[part]
-                block = SlicedBlock(rows[part])
-                for w, name in zip(weights, queries.tolist()):
-                    at = np.searchsorted(own, name)
-                    skip = np.array([at] if at < len(own) and own[at] == name else [], np.int64)
-                    out += [(name, i, s) for s, i in block.top(w, k, skip, own)]
-        c = list(zip(*out)) or [(), (), ()]
-        return pa.table([pa.array(v, pa.int64()) for v in c], ["query_id", "vec_id", "score"])
-
-    near = left.groupBy("block", "grp").cogroup(right.groupBy("block", "grp")).applyInArrow(meet, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                own, mine = ids[part], rows[part]
+                block = SlicedBlock(mine)
+                for w, name, which in zip(weights, b.column("id").to_pylist(), b.column("which").to_pylist()):
+                    i, j = np.searchsorted(own, name), np.searchsorted(own, name, "right")
+                    skip = i + np.flatnonzero((mine[i:j] == w).all(axis=1))
+                    out += [(name, which, i, min(max(s, LONG[0]), LONG[1]), beyond(s)) for s, i in block.top(w, k, skip, own)]
+        c = list(zip(*out)) or [()] * 5
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table([pa.array(v, t) for v, t in zip(c, kinds)], ["query_id", "which", "vec_id", "score", "beyond"])
+
+    near = left.groupBy("block", "grp").cogroup(right.groupBy("block", "grp")).applyInArrow(meet, "query_id long, which string, vec_id long, score long, beyond binary")
+    best = Window.partitionBy("query_id", "which").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
