@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import dropped, settled
@@ -64,37 +64,53 @@ def follow(steps: DataFrame) -> DataFrame:
     return state.select("node", F.when(on, F.col("last")).alias("last"), F.when(on, F.col("steps")).alias("steps"), F.when(on, F.col("length")).alias("length"), F.col("moved").alias("cyclic"))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of links(a, b): component is the least node that can be reached.
 
-    Each round every node takes the least label among its neighbours and itself, and
-    then the label of its label, so that long chains shrink fast.  Only minima are
-    aggregated; a node of any degree stays spread.  Links with a null end are ignored.
+    Alternating large-star and small-star steps on distinct edges.  Only minima
+    are aggregated (combined before each shuffle), never lists of neighbours, so
+    a hub of any degree stays spread; the joins are plain equi-joins that
+    adaptive execution may split.  Each round is a table in the shared folder.
+    Links with a null end and links of a node to itself are ignored.  No links: no rows.
     """
-    ends = links.where("a is not null and b is not null").select("a", "b")
-    edges = settled(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = settled(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "labels")
-    while True:
-        near = edges.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("m").alias("x"))
-        own = label.join(near, "a").select("a", "m", F.least("m", "x").alias("new"))
-        jump = label.select(F.col("a").alias("new"), F.col("m").alias("far"))
-        new = settled(own.join(jump, "new").select("a", F.least("new", "far").alias("m"), (F.least("new", "far") < F.col("m")).alias("changed")), "labels")
-        changed = new.where("changed").limit(1).count()
-        dropped(label)
-        label = new
-        if not changed:
+
+    def step(e: DataFrame, large: bool) -> DataFrame:
+        if large:  # each node's larger neighbours go to its least neighbour
+            both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+            return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = e.groupBy("a").agg(F.min("b").alias("m"))  # a > b: each node's smaller neighbours
+        up = e.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return up.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+
+    edges = settled(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    seen = None
+    for _ in range(max_rounds):
+        nxt = settled(step(step(edges, True), False), "links")
+        now = tuple(nxt.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+        dropped(edges)
+        edges = nxt
+        if now == seen:
             break
-    return label.select(F.col("a").alias("node"), F.col("m").alias("component"))
+        seen = now
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
-def transitive(edges: DataFrame, slop: int, max_degree: int = 50) -> DataFrame:
+def transitive(edges: DataFrame, slop: int, max_degree: int | None = None) -> DataFrame:
     """Edges(src, dst, length) that two others explain: src -> via -> dst, their lengths adding up to within slop.
 
-    Nodes with more than max_degree outgoing edges are not passed through, as they
-    are repeats: this rule bounds the work at a node too.
+    Only pairs that an edge joins directly are looked for, so a walk is dropped
+    as soon as it is made; adaptive execution splits a hub's rows.  With
+    max_degree, nodes of more outgoing edges are taken as repeats and not passed through.
     """
-    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_degree).select(F.col("src").alias("via"))
-    second = edges.join(out, F.col("src") == F.col("via"), "left_semi").select(F.col("src").alias("via"), F.col("dst").alias("z"), F.col("length").alias("l2"))
+    through = edges
+    if max_degree is not None:
+        out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_degree).select(F.col("src").alias("via"))
+        through = edges.join(out, F.col("src") == F.col("via"), "left_semi")
+    second = through.select(F.col("src").alias("via"), F.col("dst").alias("z"), F.col("length").alias("l2"))
     first = edges.select(F.col("src").alias("x"), F.col("dst").alias("via"), F.col("length").alias("l1"))
     walks = first.join(second, "via").where("x <> via and via <> z").select("x", "z", (F.col("l1") + F.col("l2")).alias("sum"))
     same = (F.col("src") == F.col("x")) & (F.col("dst") == F.col("z")) & (F.abs(F.col("length") - F.col("sum")) <= slop)
@@ -143,7 +159,11 @@ def mate_edges(reads: DataFrame, mates: DataFrame, mean: float, stddev: float) -
     )
 
 
-def agree(mean_a: Column, var_a: Column, mean_b: Column, var_b: Column, limit: float = 23.637, floor: float = 25.0) -> Column:
+#: The chi-square below which two distances agree, and the least variance counted.
+CHI_SQUARE, LEAST_VARIANCE = 23.637, 25.0
+
+
+def agree(mean_a: Column, var_a: Column, mean_b: Column, var_b: Column, limit: float = CHI_SQUARE, floor: float = LEAST_VARIANCE) -> Column:
     """Whether the chi-square of two distances about their inverse-variance mean is below the limit; variances are at least `floor`, and none may be 0 or less."""
     va, vb = F.greatest(var_a, F.lit(floor)), F.greatest(var_b, F.lit(floor))
     return (var_a > 0) & (var_b > 0) & ((mean_a - mean_b) ** 2 / (va + vb) < limit)
@@ -159,3 +179,76 @@ def bundled(edges: DataFrame) -> DataFrame:
     ok = edges.join(mid, key).where(agree(F.col("mean"), F.col("variance"), F.col("mid"), F.col("mv")))
     g = ok.groupBy(*key).agg(F.count(F.lit(1)).alias("weight"), F.sum(F.col("mean") / F.col("variance")).alias("x"), F.sum(1 / F.col("variance")).alias("w"))
     return g.select(*key, "weight", (F.col("x") / F.col("w")).alias("mean"), (1 / F.col("w")).alias("variance"))
+
+
+def clustered(edges: DataFrame) -> DataFrame:
+    """(id_a, id_b, orient, cluster, weight, mean, variance): all edges of a pair, cut into clusters along their distances.
+
+    In the order of mean an edge that agrees with the one before it is in its
+    cluster, so none is left out; clusters are combined by inverse variance and
+    numbered from 1.  A pair's edges are few against all edges.
+    """
+    key = ["id_a", "id_b", "orient"]
+    w = Window.partitionBy(*key).orderBy("mean", "variance")
+    new = ~agree(F.col("mean"), F.col("variance"), F.lag("mean").over(w), F.lag("variance").over(w))
+    c = edges.withColumn("new", F.when(F.coalesce(new, F.lit(True)), 1).otherwise(0)).withColumn("cluster", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    g = c.groupBy(*key, "cluster").agg(F.count(F.lit(1)).alias("weight"), F.sum(F.col("mean") / F.col("variance")).alias("x"), F.sum(1 / F.col("variance")).alias("w"))
+    return g.select(*key, "cluster", "weight", (F.col("x") / F.col("w")).alias("mean"), (1 / F.col("w")).alias("variance"))
+
+
+def lifted(edges: DataFrame, placed: DataFrame) -> DataFrame:
+    """(scaffold_a, scaffold_b, weight): edges(id_a, id_b) between pieces of different scaffolds, by placed(piece, scaffold); the lower scaffold first."""
+    a = placed.select(F.col("piece").alias("id_a"), F.col("scaffold").alias("sa"))
+    b = placed.select(F.col("piece").alias("id_b"), F.col("scaffold").alias("sb"))
+    j = edges.join(a, "id_a").join(b, "id_b").where("sa <> sb")
+    return j.groupBy(F.least("sa", "sb").alias("scaffold_a"), F.greatest("sa", "sb").alias("scaffold_b")).agg(F.count(F.lit(1)).alias("weight"))
+
+
+def simple(edges: DataFrame) -> DataFrame:
+    """(a, b, n, length): both directions of edges(src, dst, length) as one, with how often it occurs and its least length; self edges are left out."""
+    e = edges.where("src <> dst")
+    return e.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("length").alias("length"))
+
+
+def ranked(edges: DataFrame, most: int, by: str = "weight") -> DataFrame:
+    """The `most` edges of greatest weight at each id_a, of equals those of least id_b, with their rank."""
+    w = Window.partitionBy("id_a").orderBy(F.desc(by), "id_b")
+    return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def confirmed(edges: DataFrame, slop: int) -> DataFrame:
+    """Edges(src, dst, length) with the number of two-edge paths whose length is within slop of theirs."""
+    first = edges.select(F.col("src").alias("x"), F.col("dst").alias("via"), F.col("length").alias("l1"))
+    second = edges.select(F.col("src").alias("via"), F.col("dst").alias("z"), F.col("length").alias("l2"))
+    walks = first.join(second, "via").groupBy("x", "z", (F.col("l1") + F.col("l2")).alias("sum")).agg(F.count(F.lit(1)).alias("k"))
+    same = (F.col("src") == F.col("x")) & (F.col("dst") == F.col("z")) & (F.abs(F.col("length") - F.col("sum")) <= slop)
+    return edges.join(walks, same, "left").groupBy("src", "dst", "length").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("paths"))
+
+
+def essential_ends(edges: DataFrame) -> DataFrame:
+    """Nodes of edges(src, dst) with just one neighbour, where a scaffold begins."""
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
+    return both.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("node")
+
+
+def contained_order(best: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(iid, root, depth) of best(a_iid, container): the read that holds a contained read at last, and over how many containers.
+
+    Pointer doubling; reads whose containers run in a circle have null root and depth.
+    """
+    state = settled(best.select(F.col("a_iid").alias("iid"), F.col("container").alias("root"), F.lit(1).cast("long").alias("depth"), F.lit(True).alias("open")), "containers")
+    before = None
+    for _ in range(max_rounds):
+        hop = state.select(F.col("iid").alias("n"), F.col("root").alias("r"), F.col("depth").alias("d"))
+        new = state.join(hop, F.col("root") == F.col("n"), "left").select(
+            "iid", F.coalesce("r", "root").alias("root"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), F.col("n").isNotNull().alias("open")
+        )
+        new = settled(new, "containers")
+        dropped(state)
+        state = new
+        left = state.where("open").count()
+        if left == 0 or left == before:
+            break
+        before = left
+    done = ~F.col("open")
+    return state.select("iid", F.when(done, F.col("root")).alias("root"), F.when(done, F.col("depth")).alias("depth"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,8 +27,17 @@ def apply_edits(df: DataFrame, edits: DataFrame, id_col: str, fields: list[str])
 
 
 def latest(df: DataFrame, keys: list[str], version: str, upto=None) -> DataFrame:
-    """The row of the greatest version of each key, of those not after `upto`."""
+    """The row of the greatest version of each key, of those not after `upto`; of equal versions the greatest row.
+
+    Combined before the shuffle, so a key of very many versions stays spread.
+    """
     if upto is not None:
         df = df.where(F.col(version) <= upto)
-    w = Window.partitionBy(*keys).orderBy(F.desc(version))
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    rest = [c for c in df.columns if c not in keys]
+    row = F.max(F.struct(F.col(version).alias("__v"), *[F.col(c) for c in rest])).alias("__row")
+    return df.groupBy(*keys).agg(row).select(*[F.col(c) if c in keys else F.col(f"__row.{c}").alias(c) for c in df.columns])
+
+
+def compacted(df: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """A store with only the last version of each key."""
+    return latest(df, keys, version)

@@ -64,14 +64,14 @@ def error_profile(spark, sf):
 
 
 def _clipped(rounds: int) -> str:
-    out = ["c0 AS (SELECT CAST('inf' AS DOUBLE) AS lim, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS sigma)"]
+    out = ["c0 AS MATERIALIZED (SELECT CAST('inf' AS DOUBLE) AS lim, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS sigma)"]
     for i in range(1, rounds + 1):
-        out.append(f"""s{i} AS (SELECT count(*) AS m, CAST(sum(z) AS DOUBLE) AS s, CAST(sum(z * z) AS DOUBLE) AS q FROM er, c{i - 1} WHERE z <= lim),
-c{i} AS (SELECT s / m + 3.0::DOUBLE * sqrt((q - s * (s / m)) / (m - 1)) AS lim, s / m AS mean, sqrt((q - s * (s / m)) / (m - 1)) AS sigma FROM s{i})""")
+        out.append(f"""s{i} AS MATERIALIZED (SELECT count(*) AS m, CAST(sum(z) AS DOUBLE) AS s, CAST(sum(z * z) AS DOUBLE) AS q FROM er, c{i - 1} WHERE z <= lim),
+c{i} AS MATERIALIZED (SELECT s / m + 3.0::DOUBLE * sqrt((q - s * (s / m)) / (m - 1)) AS lim, s / m AS mean, sqrt((q - s * (s / m)) / (m - 1)) AS sigma FROM s{i})""")
     return ",\n".join(out)
 
 
-@query(f"""WITH {SPANS}, er AS (SELECT a_iid, b_iid, erate * (1 + a_beg % 7) AS z FROM sp), {_clipped(10)} SELECT a_iid, b_iid, z AS erate FROM er, c10 WHERE z > mean + 2.0::DOUBLE * sigma""")
+@query(f"""WITH {SPANS}, er AS MATERIALIZED (SELECT a_iid, b_iid, erate * (1 + a_beg % 7) AS z FROM sp), {_clipped(10)} SELECT a_iid, b_iid, z AS erate FROM er, c10 WHERE z > mean + 2.0::DOUBLE * sigma""")
 def high_error_overlaps(spark, sf):
     """Codes are spread by the place of the overlap, so that some lie far out."""
     return tr.high_errors(spans(spark, sf).select("a_iid", "b_iid", (F.col("erate") * (1 + F.col("a_beg") % 7)).alias("erate")))

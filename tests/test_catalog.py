@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from braidwork.functions import sequence as sq
 from braidwork.operators import intervals as iv
 from braidwork.operators import records as rec
-from braidwork.plans import assembly, catalog, finishing  # noqa: F401  (the others add their queries to the catalog's)
+from braidwork.plans import assembly, catalog, finishing, storage  # noqa: F401  (the others add their queries to the catalog's)
 
 SF = "/root/testdata/sf0.001"
 
