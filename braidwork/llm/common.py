@@ -1,49 +1,24 @@
-"""Shared plumbing: the scratch folder that all executors see, and graph components."""
+"""Shared plumbing: tables in the folder that all executors see, and names that can't clash."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-_LOCAL_SCRATCH: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir.
-
-    Only a local master, as in tests, may go without the setting; it then gets
-    one temporary folder of this machine.
-    """
-    conf = spark.sparkContext.getConf()
-    at = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH.append("file://" + tempfile.mkdtemp(prefix="braidwork-"))
-    return _LOCAL_SCRATCH[0]
+from ..operators.graph import components as connected_components  # noqa: F401
+from ..operators.lineage import dropped, scratch  # noqa: F401
+from ..operators.lineage import settled as written  # noqa: F401
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return path
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def hidden(df: DataFrame):
     """(df with names of its own, a function from the old names to them): no column then clashes with an operator's."""
     cols = df.columns
@@ -51,58 +26,5 @@ def hidden(df: DataFrame):
     return df.toDF(*names), lambda c: names[cols.index(c)]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of links(a long, b long); component is the least node reachable.
-
-    Alternating large-star and small-star steps on distinct edges.  Only minima
-    are aggregated (combined before each shuffle), never lists of neighbours, so
-    a hub of any degree stays distributed; the joins are plain equi-joins that
-    adaptive execution may split.  Each step is a table in the shared folder.
-    Rows with a null end and self-links are ignored.  Empty links: no rows.
-    """
-    spark = links.sparkSession
-
-    def step(e: DataFrame, large: bool) -> DataFrame:
-        if large:  # each node's larger neighbours go to its least neighbour
-            both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-            return (
-                both.where("b > a").join(low, "a")
-                .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-            )
-        low = e.groupBy("a").agg(F.min("b").alias("m"))  # a > b: each node's smaller neighbours
-        up = e.join(low, "a")
-        return (
-            up.select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        )
-
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = written(edges, "links")
-    seen = None
-    for _ in range(max_rounds):
-        nxt = written(step(step(edges, True), False), "links")
-        now = nxt.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        drop_path(spark, edges._scratch)
-        edges = nxt
-        if tuple(now) == seen:
-            break
-        seen = tuple(now)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

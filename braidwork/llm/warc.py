@@ -102,7 +102,7 @@ def write_archive(
     none has an id.  A block longer than segment_bytes is cut into a first
     record and continuations.  Empty table: an archive without records.
     """
-    from .common import drop_path, written
+    from .common import dropped, written
 
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
@@ -131,7 +131,7 @@ def write_archive(
     # each line of the text sink is one record, and its line end the two blank lines after a record
     lines = joined.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
     lines.write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
-    drop_path(spark, again._scratch)
+    dropped(again)
 
 
 RECORD = "type string, origin string, segment int, total long, page_id long, refers_to long, digest string, payload_length long, block binary"
