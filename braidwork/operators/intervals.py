@@ -28,12 +28,20 @@ def depth(iv: DataFrame) -> DataFrame:
 
 
 def islands(iv: DataFrame, min_overlap: int = 0) -> DataFrame:
-    """(key, bgn, end, n): unions of intervals of which each overlaps those before it by at least min_overlap."""
+    """(key, bgn, end, n): unions of intervals of which each overlaps those before it by at least min_overlap.
+
+    Without min_overlap all intervals of one begin are put together before the
+    window, which so sorts distinct begins of a key only.
+    """
     w = Window.partitionBy("key").orderBy("bgn", "end")
     far = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = solid(iv).select("key", "bgn", "end", F.when(far.isNull() | (F.col("bgn") > far - min_overlap), 1).otherwise(0).alias("new"))
+    if min_overlap == 0:
+        iv = solid(iv).groupBy("key", "bgn").agg(F.max("end").alias("end"), F.count(F.lit(1)).alias("c"))
+    else:
+        iv = solid(iv).withColumn("c", F.lit(1).cast("long"))
+    marked = iv.select("key", "bgn", "end", "c", F.when(far.isNull() | (F.col("bgn") > far - min_overlap), 1).otherwise(0).alias("new"))
     grouped = marked.withColumn("g", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy("key", "g").agg(F.min("bgn").alias("bgn"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).drop("g")
+    return grouped.groupBy("key", "g").agg(F.min("bgn").alias("bgn"), F.max("end").alias("end"), F.sum("c").alias("n")).drop("g")
 
 
 def at_least(iv: DataFrame, d: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import intervals as iv
 from .overlaps import length_on_a, overlap_class
+from .stats import spread
 
 #: Fixed value: the order of record kinds in a final report.
 REPORT_ORDER = ("MDI", "AFG", "AMP", "UTG", "ULK", "CCO", "CLK", "SCF", "SLK")
@@ -88,6 +89,74 @@ def end_errors(ov: DataFrame, repeat_from: int) -> DataFrame:
     return k.groupBy("kind", "erate").agg(F.sum("n").alias("n"), F.sum("letters").alias("letters"))
 
 
+def top_per_end(ov: DataFrame, most: int) -> DataFrame:
+    """The `most` dovetails of least error at each read end, of equals the longest, then the first stored."""
+    d = ov.withColumn("cls", overlap_class()).where("cls in ('dovetail5', 'dovetail3')").withColumn("olen", length_on_a())
+    w = Window.partitionBy("a_iid", "cls").orderBy("erate", F.desc("olen"), "b_iid", "a_hang", "b_hang", "flipped")
+    return d.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
+
+
+def duplicate_pairs_by_overlap(ov: DataFrame, mates: DataFrame, slop: int) -> DataFrame:
+    """(iid, mate, keeper): pairs (a, a') of which a overlaps b and a' overlaps b', both with begins within slop, b and b' a pair of lower id.
+
+    mates(iid, mate) both ways; the keeper is the least such b.
+    """
+    near = ov.where((F.abs("a_hang") <= slop) & (F.col("b_iid") < F.col("a_iid"))).select("a_iid", "b_iid").distinct()
+    m1 = mates.select(F.col("iid").alias("a_iid"), F.col("mate").alias("a2"))
+    m2 = mates.select(F.col("iid").alias("b_iid"), F.col("mate").alias("b2"))
+    other = ov.where(F.abs("a_hang") <= slop).select(F.col("a_iid").alias("a2"), F.col("b_iid").alias("b2")).distinct()
+    j = near.join(m1, "a_iid").join(m2, "b_iid").join(other, ["a2", "b2"], "left_semi")
+    return j.groupBy(F.col("a_iid").alias("iid"), F.col("a2").alias("mate")).agg(F.min("b_iid").alias("keeper"))
+
+
+def intersections(ov: DataFrame, placed: DataFrame) -> DataFrame:
+    """(tig, other, iid, n): how many overlaps lead into each read from reads of other tigs, by placed(iid, tig)."""
+    a, b = placed.select(F.col("iid").alias("a_iid"), F.col("tig").alias("ta")), placed.select(F.col("iid").alias("b_iid"), F.col("tig").alias("tb"))
+    j = ov.join(a, "a_iid").join(b, "b_iid").where("ta <> tb")
+    return j.groupBy(F.col("ta").alias("tig"), F.col("tb").alias("other"), F.col("a_iid").alias("iid")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def repeat_models(ov: DataFrame, libs: DataFrame) -> DataFrame:
+    """(lib, threshold): mode + 2 * MAD of dovetails per read end, averaged over both ends, for each library of libs(iid, lib)."""
+    d = ov.withColumn("cls", overlap_class()).where("cls in ('dovetail5', 'dovetail3')").groupBy("a_iid", "cls").agg(F.count(F.lit(1)).alias("x"))
+    j = d.join(libs.select(F.col("iid").alias("a_iid"), "lib"), "a_iid").select(F.struct("lib", "cls").alias("key"), "x")
+    return spread(j).groupBy(F.col("key.lib").alias("lib")).agg(F.avg(F.col("mode") + 2 * F.col("mad")).alias("threshold"))
+
+
+def solid_clear(ov: DataFrame, min_overlap: int, min_depth: int) -> DataFrame:
+    """(iid, bgn, end): of the unions of a read's overlaps, cut to where min_depth of them lie, the longest, of equals the first.
+
+    ov(a_iid, a_beg, a_end).
+    """
+    i = ov.select(F.col("a_iid").alias("key"), F.col("a_beg").alias("bgn"), F.col("a_end").alias("end"))
+    both = iv.algebra(iv.islands(i, min_overlap), iv.at_least(i, min_depth), "and")
+    return iv.longest(iv.islands(both)).select(F.col("key").alias("iid"), "bgn", "end")
+
+
+# trims
+
+
+def decided_trim(points: DataFrame, least_count: int) -> DataFrame:
+    """points with bgn and end by their evidence: the most frequent place if it is seen least_count times, else the
+    least seen twice, else the outermost; (iid, bgn, end, by) where `by` names the evidence of the begin.
+    """
+    def side(name):
+        often = F.col(f"{name}_count") >= least_count
+        twice = F.col(f"{name}_twice").isNotNull()
+        return F.when(often, F.col(f"{name}_mode")).when(twice, F.col(f"{name}_twice")).otherwise(F.col(f"{name}_first")), F.when(often, "mode").when(twice, "twice").otherwise("first")
+
+    (bgn, by), (end, _) = side("bgn"), side("end")
+    return points.select(F.col("a_iid").alias("iid"), bgn.alias("bgn"), end.alias("end"), by.alias("by"))
+
+
+def within_max(trims: DataFrame, reads: DataFrame, least: int) -> DataFrame:
+    """reads(iid, max_bgn, max_end) with their trim (iid, bgn, end) held within the greatest clear range; reads without a trim
+    keep that range; what is then shorter than `least` is deleted."""
+    j = reads.join(trims.select("iid", "bgn", "end"), "iid", "left")
+    bgn, end = F.greatest(F.coalesce("bgn", "max_bgn"), F.col("max_bgn")), F.least(F.coalesce("end", "max_end"), F.col("max_end"))
+    return j.select("iid", bgn.alias("bgn"), end.alias("end"), (end - bgn < least).alias("deleted"))
+
+
 # layouts
 
 
@@ -222,6 +291,23 @@ def letters(texts: DataFrame, col: str = "seq") -> DataFrame:
 # lines
 
 
+def unique_unique(tigs: DataFrame, places: DataFrame, least: int) -> DataFrame:
+    """(tig, class) of tigs(tig, len) that occur in places(tig, scaffold, ord): of one place and at least `least` long unique, at the
+    first or last place of a scaffold alone an end, else a middle."""
+    w = places.groupBy("scaffold").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"))
+    p = places.join(w, "scaffold").groupBy("tig").agg(F.count(F.lit(1)).alias("n"), F.bool_and((F.col("ord") == F.col("lo")) | (F.col("ord") == F.col("hi"))).alias("outer"))
+    return p.join(tigs, "tig").select("tig", F.when((F.col("n") == 1) & (F.col("len") >= least), "unique").when(F.col("outer"), "end").otherwise("middle").alias("class"))
+
+
+def voted(mates: DataFrame, votes: DataFrame, least: int) -> DataFrame:
+    """mates(iid, mate) with how often votes(iid, kind) call the pair's first read innie or outtie, and the kind that has at
+    least `least` votes and more than the other, else unknown."""
+    v = votes.groupBy("iid").agg(F.count_if(F.col("kind") == "innie").alias("innie"), F.count_if(F.col("kind") == "outtie").alias("outtie"))
+    j = mates.join(v, "iid", "left").fillna(0, ["innie", "outtie"])
+    kind = F.when((F.col("innie") >= least) & (F.col("innie") > F.col("outtie")), "innie").when((F.col("outtie") >= least) & (F.col("outtie") > F.col("innie")), "outtie").otherwise("unknown")
+    return j.select("iid", "mate", "innie", "outtie", kind.alias("kind"))
+
+
 def gff(places: DataFrame, source: str = "braidwork", kind: str = "match") -> DataFrame:
     """(line) of places(seq, name, bgn, end, reverse): nine columns, counted from 1 with the end included."""
     strand = F.when(F.col("reverse"), "-").otherwise("+")

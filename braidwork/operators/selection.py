@@ -81,3 +81,15 @@ def random_until(df: DataFrame, total: int, seed: int, id_col: str = "id", len_c
     w = Window.partitionBy(head).orderBy("__h", id_col).rowsBetween(Window.unboundedPreceding, -1)
     rest = h.where(head == last["b"]).withColumn("__n", F.coalesce(F.sum(len_col).over(w), F.lit(0))).where(F.col("__n") < total - last["before"])
     return h.where(head < last["b"]).select(df.columns).unionByName(rest.select(df.columns))
+
+
+def random_share(df: DataFrame, share: float, seed: int, id_col: str = "id") -> DataFrame:
+    """Rows whose id, hashed with a seed, falls into the lowest `share` of the hash's first 28 bits: the same at every run and layout."""
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary")), 1, 7), 16, 10).cast("long")
+    return df.where(h < int(share * (1 << 28)))
+
+
+def chosen_sets(df: DataFrame, first: str, second: str) -> DataFrame:
+    """df with columns both, either, only_first and neither of two conditions, null counting as not met."""
+    a, b = F.coalesce(F.expr(first), F.lit(False)), F.coalesce(F.expr(second), F.lit(False))
+    return df.withColumns({"both": a & b, "either": a | b, "only_first": a & ~b, "neither": ~(a | b)})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def n_statistics(lengths: DataFrame, percents: list[int]) -> DataFrame:
-    """(key, n, value, members): in descending order, the length at which the running sum reaches floor(total * n / 100).
+    """(key, n, value): in descending order, the length at which the running sum reaches floor(total * n / 100).
 
     Lengths are counted first, so the window sorts distinct lengths of a key.
     """
@@ -39,15 +39,21 @@ def spread(values: DataFrame) -> DataFrame:
 
 def insert_sizes(sizes: DataFrame) -> DataFrame:
     """(key, n, mean, stddev) without outliers: those further from the median than five times the
-    greater of its distances to the lower and upper third, each by rank."""
-    v = sizes.where("key is not null and x is not null")
-    w = Window.partitionBy("key").orderBy("x")
-    r = v.select("key", "x", F.row_number().over(w).alias("r"), F.count(F.lit(1)).over(Window.partitionBy("key")).alias("m"))
-    at = lambda num, den: F.max(F.when(F.col("r") == F.floor(F.col("m") * num / den) + 1, F.col("x")))
+    greater of its distances to the lower and upper third, each by rank.
+
+    Sizes are counted first, so that the window sorts distinct sizes of a key.
+    """
+    c = sizes.where("key is not null and x is not null").groupBy("key", "x").agg(F.count(F.lit(1)).alias("c"))
+    r = c.select("key", "x", F.sum("c").over(Window.partitionBy("key").orderBy("x")).alias("upto"), F.sum("c").over(Window.partitionBy("key")).alias("m"))
+    at = lambda num, den: F.min(F.when(F.col("upto") >= F.floor(F.col("m") * num / den) + 1, F.col("x")))
     q = r.groupBy("key").agg(at(1, 2).alias("mid"), at(1, 3).alias("lo"), at(2, 3).alias("hi"))
     q = q.withColumn("far", 5 * F.greatest(F.col("mid") - F.col("lo"), F.col("hi") - F.col("mid")))
-    kept = v.join(q, "key").where((F.col("x") >= F.col("mid") - F.col("far")) & (F.col("x") <= F.col("mid") + F.col("far")))
-    return kept.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.floor(F.avg("x")).alias("mean"), F.floor(F.coalesce(F.stddev_samp("x"), F.lit(0.0))).alias("stddev"))
+    kept = c.join(q, "key").where((F.col("x") >= F.col("mid") - F.col("far")) & (F.col("x") <= F.col("mid") + F.col("far")))
+    g = kept.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("x") * F.col("c")).alias("s"))
+    g = g.withColumn("avg", F.col("s") / F.col("n"))
+    away = kept.join(g.select("key", "avg"), "key").groupBy("key").agg(F.sum(F.col("c") * (F.col("x") - F.col("avg")) ** 2).alias("q"))
+    dev = F.when(F.col("n") > 1, F.sqrt(F.col("q") / F.greatest(F.col("n") - 1, F.lit(1)))).otherwise(0.0)
+    return g.join(away, "key").select("key", "n", F.floor("avg").alias("mean"), F.floor(dev).alias("stddev"))
 
 
 def arrival_statistic(reads: DataFrame, rate: float | None = None) -> DataFrame:

@@ -14,9 +14,12 @@ from ..operators import kmers as km
 from ..operators import overlaps as ov
 from ..operators import records as rec
 from ..operators import reports as rp
+from ..operators import selection as sl
 from ..operators import store as so
+from ..operators import trimming as tr
 from .assembly import EDGES, RD, edges, mates, reads
 from .catalog import BASES, EV, K, KM, LETTERS, OV, dna, events, merge, query, read_overlaps, sweep, table
+from .finishing import SPANS, _side, spans
 
 
 def store(spark, sf):
@@ -276,6 +279,95 @@ def contained_order(spark, sf):
     return gr.contained_order(ov.best_containers(_both(spark, sf)))
 
 
+@query(f"""WITH {OV} SELECT a_iid, cls, b_iid, erate, olen FROM x WHERE cls IN ('dovetail5', 'dovetail3') QUALIFY row_number() OVER (PARTITION BY a_iid, cls ORDER BY erate, olen DESC, b_iid, a_hang, b_hang, flipped) <= 1""")
+def overlap_top_per_end(spark, sf):
+    return rp.top_per_end(_both(spark, sf), 1).select("a_iid", "cls", "b_iid", "erate", "olen")
+
+
+PAIR = "ol AS (SELECT a_iid % 400 AS a_iid, b_iid % 400 AS b_iid, a_hang FROM y), pr AS (SELECT range AS iid, CASE WHEN range % 2 = 0 THEN range + 1 ELSE range - 1 END AS mate FROM range(400))"
+
+
+@query(f"""WITH {OV}, {PAIR}, nr AS (SELECT DISTINCT a_iid, b_iid FROM ol WHERE abs(a_hang) <= 6)
+SELECT n.a_iid AS iid, p.mate, min(n.b_iid) AS keeper FROM nr n JOIN pr p ON p.iid = n.a_iid JOIN pr q ON q.iid = n.b_iid JOIN nr o ON o.a_iid = p.mate AND o.b_iid = q.mate WHERE n.b_iid < n.a_iid GROUP BY 1, 2""")
+def duplicate_pairs_by_overlap(spark, sf):
+    """Reads are taken in 400 groups, neighbours being mates, so that pairs overlap."""
+    y = _both(spark, sf).select((F.col("a_iid") % 400).alias("a_iid"), (F.col("b_iid") % 400).alias("b_iid"), "a_hang")
+    m = spark.range(400).select(F.col("id").alias("iid"), F.when(F.col("id") % 2 == 0, F.col("id") + 1).otherwise(F.col("id") - 1).alias("mate"))
+    return rp.duplicate_pairs_by_overlap(y, m, 6)
+
+
+@query(f"WITH {OV}, lb AS (SELECT DISTINCT iid, iid % 97 AS tig FROM l) SELECT p.tig, r.tig AS other, a_iid AS iid, count(*) AS n FROM y JOIN lb p ON p.iid = a_iid JOIN lb r ON r.iid = b_iid WHERE p.tig <> r.tig GROUP BY ALL")
+def tig_intersections(spark, sf):
+    ids = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("iid")).distinct()
+    return rp.intersections(_both(spark, sf), ids.withColumn("tig", F.col("iid") % 97))
+
+
+@query(f"""WITH {OV}, e AS (SELECT a_iid % 512 AS a_iid, cls, count(*) AS x FROM x WHERE cls IN ('dovetail5', 'dovetail3') GROUP BY 1, 2), v AS (SELECT a_iid % 3 AS lib, cls, x FROM e),
+m AS (SELECT lib, cls, quantile_disc(x, 0.5) AS mid FROM v GROUP BY ALL), om AS (SELECT lib, cls, x AS mode FROM v GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY lib, cls ORDER BY count(*) DESC, x) = 1),
+dd AS (SELECT lib, cls, quantile_disc(abs(x - mid), 0.5) * 1.4826 AS mad FROM v JOIN m USING (lib, cls) GROUP BY ALL) SELECT lib, round(avg(mode + 2 * CAST(mad AS DOUBLE)), 6) AS threshold FROM om JOIN dd USING (lib, cls) GROUP BY lib""")
+def repeat_models(spark, sf):
+    """Reads are taken in 512 groups, so that ends have several overlaps."""
+    y = _both(spark, sf).withColumn("a_iid", F.col("a_iid") % 512)
+    return rp.repeat_models(y, spark.range(512).select(F.col("id").alias("iid"), (F.col("id") % 3).alias("lib"))).withColumn("threshold", F.round("threshold", 6))
+
+
+@query(f"""WITH {SPANS}, sg AS (SELECT a_iid // 16 AS key, a_beg AS bgn, a_end AS "end" FROM sp WHERE a_beg < a_end), {merge("i", "sg")}, {sweep("d", "sg")}, hd AS (SELECT key, bgn, "end" FROM d WHERE depth >= 2), {merge("h", "hd")},
+b AS (SELECT i.key, greatest(i.bgn, h.bgn) AS bgn, least(i."end", h."end") AS "end" FROM i JOIN h ON i.key = h.key AND i.bgn < h."end" AND h.bgn < i."end")
+SELECT key AS iid, bgn, "end" FROM b QUALIFY row_number() OVER (PARTITION BY key ORDER BY "end" - bgn DESC, bgn) = 1""")
+def solid_clear_ranges(spark, sf):
+    """Reads are taken in groups of 16 ids, so that overlaps lie on each other."""
+    return rp.solid_clear(spans(spark, sf).withColumn("a_iid", F.floor(F.col("a_iid") / 16)), 0, 2)
+
+
+POINTS = f"""co AS (SELECT a_iid // 64 AS id, a_beg // 10 AS a_beg, a_end // 10 AS a_end FROM sp), {_side("a_beg", "bgn", "min", "")}, {_side("a_end", "fin", "max", "DESC")},
+tp AS (SELECT id AS iid, CASE WHEN bgn_count >= 4 THEN bgn_mode ELSE coalesce(bgn_twice, bgn_first) END AS bgn, CASE WHEN fin_count >= 4 THEN fin_mode ELSE coalesce(fin_twice, fin_first) END AS "end",
+  CASE WHEN bgn_count >= 4 THEN 'mode' WHEN bgn_twice IS NOT NULL THEN 'twice' ELSE 'first' END AS by FROM bgn JOIN fin USING (id))"""
+
+
+def _decided(spark, sf):
+    s = spans(spark, sf).select(F.floor(F.col("a_iid") / 64).alias("a_iid"), F.floor(F.col("a_beg") / 10).alias("a_beg"), F.floor(F.col("a_end") / 10).alias("a_end"))
+    return rp.decided_trim(tr.trim_points(s), 4)
+
+
+@query(f"WITH {SPANS}, {POINTS} SELECT * FROM tp")
+def trims_by_evidence(spark, sf):
+    return _decided(spark, sf)
+
+
+@query(f"""WITH {SPANS}, {POINTS}, mx AS (SELECT c_custkey AS iid, c_custkey % 3 AS max_bgn, 8 + c_custkey % 6 AS max_end FROM customer),
+j AS (SELECT iid, greatest(coalesce(bgn, max_bgn), max_bgn) AS bgn, least(coalesce("end", max_end), max_end) AS "end" FROM mx LEFT JOIN tp USING (iid)) SELECT *, "end" - bgn < 9 AS deleted FROM j""")
+def trims_within_max(spark, sf):
+    c = F.col("c_custkey")
+    return rp.within_max(_decided(spark, sf), table(spark, sf, "customer").select(c.alias("iid"), (c % 3).alias("max_bgn"), (8 + c % 6).alias("max_end")), 9)
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE CAST('0x' || left(md5('7:' || c_custkey), 7) AS BIGINT) < CAST(0.3 * 268435456 AS BIGINT)")
+def random_share(spark, sf):
+    return sl.random_share(table(spark, sf, "customer"), 0.3, 7, "c_custkey").select("c_custkey", "c_acctbal")
+
+
+@query("""WITH s AS (SELECT event_id, coalesce(value > 50, false) AS a, coalesce(event_type = 'view', false) AS b FROM events) SELECT event_id, a AND b AS "both", a OR b AS either, a AND NOT b AS only_first, NOT (a OR b) AS neither FROM s""")
+def object_sets(spark, sf):
+    return sl.chosen_sets(table(spark, sf, "events"), "value > 50", "event_type = 'view'").select("event_id", "both", "either", "only_first", "neither")
+
+
+@query("""WITH p AS (SELECT l_suppkey AS tig, l_orderkey AS scaffold, l_linenumber AS ord FROM lineitem WHERE l_orderkey % 40 = 1), w AS (SELECT scaffold, min(ord) AS lo, max(ord) AS hi FROM p GROUP BY scaffold),
+g AS (SELECT tig, count(*) AS n, bool_and(ord = lo OR ord = hi) AS outside FROM p JOIN w USING (scaffold) GROUP BY tig)
+SELECT tig, CASE WHEN n = 1 AND s_acctbal >= 3000 THEN 'unique' WHEN outside THEN 'end' ELSE 'middle' END AS class FROM g JOIN supplier ON s_suppkey = tig""".replace("WHERE l_orderkey % 40 = 1", "WHERE l_quantity = 50"))
+def unique_tigs(spark, sf):
+    p = table(spark, sf, "lineitem").where("l_quantity = 50").select(F.col("l_suppkey").alias("tig"), F.col("l_orderkey").alias("scaffold"), F.col("l_linenumber").alias("ord"))
+    return rp.unique_unique(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("tig"), F.col("s_acctbal").alias("len")), p, 3000)
+
+
+@query("""WITH v AS (SELECT l_partkey AS iid, count(*) FILTER (l_returnflag = 'A') AS innie, count(*) FILTER (l_returnflag = 'R') AS outtie FROM lineitem GROUP BY 1), m AS (SELECT p_partkey AS iid, p_partkey + 1 AS mate FROM part),
+j AS (SELECT iid, mate, coalesce(innie, 0) AS innie, coalesce(outtie, 0) AS outtie FROM m LEFT JOIN v USING (iid))
+SELECT *, CASE WHEN innie >= 8 AND innie > outtie THEN 'innie' WHEN outtie >= 8 AND outtie > innie THEN 'outtie' ELSE 'unknown' END AS kind FROM j""")
+def mate_votes(spark, sf):
+    kind = F.when(F.col("l_returnflag") == "A", "innie").when(F.col("l_returnflag") == "R", "outtie")
+    m = table(spark, sf, "part").select(F.col("p_partkey").alias("iid"), (F.col("p_partkey") + 1).alias("mate"))
+    return rp.voted(m, table(spark, sf, "lineitem").select(F.col("l_partkey").alias("iid"), kind.alias("kind")), 8)
+
+
 # k-mers
 
 
