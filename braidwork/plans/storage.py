@@ -303,7 +303,7 @@ def tig_intersections(spark, sf):
 
 
 @query(f"""WITH {OV}, e AS (SELECT a_iid % 512 AS a_iid, cls, count(*) AS x FROM x WHERE cls IN ('dovetail5', 'dovetail3') GROUP BY 1, 2), v AS (SELECT a_iid % 3 AS lib, cls, x FROM e),
-m AS (SELECT lib, cls, quantile_disc(x, 0.5) AS mid FROM v GROUP BY ALL), om AS (SELECT lib, cls, x AS mode FROM v GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY lib, cls ORDER BY count(*) DESC, x) = 1),
+m AS (SELECT lib, cls, quantile_disc(x, 0.5) AS mid FROM v GROUP BY ALL), om AS (SELECT lib, cls, x AS mode FROM v GROUP BY lib, cls, x QUALIFY row_number() OVER (PARTITION BY lib, cls ORDER BY count(*) DESC, x) = 1),
 dd AS (SELECT lib, cls, quantile_disc(abs(x - mid), 0.5) * 1.4826 AS mad FROM v JOIN m USING (lib, cls) GROUP BY ALL) SELECT lib, round(avg(mode + 2 * CAST(mad AS DOUBLE)), 6) AS threshold FROM om JOIN dd USING (lib, cls) GROUP BY lib""")
 def repeat_models(spark, sf):
     """Reads are taken in 512 groups, so that ends have several overlaps."""
