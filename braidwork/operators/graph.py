@@ -71,7 +71,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     are aggregated (combined before each shuffle), never lists of neighbours, so
     a hub of any degree stays spread; the joins are plain equi-joins that
     adaptive execution may split.  Each round is a table in the shared folder.
-    Links with a null end and links of a node to itself are ignored.  No links: no rows.
+    Links with a null end are ignored; a node linked to itself alone is its own component.  No links: no rows.
     """
 
     def step(e: DataFrame, large: bool) -> DataFrame:
@@ -83,12 +83,13 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         up = e.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return up.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
-    edges = settled(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    seen = None
+    first = settled(links.where("a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    edges, seen = first.where("a <> b"), None
     for _ in range(max_rounds):
         nxt = settled(step(step(edges, True), False), "links")
         now = tuple(nxt.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-        dropped(edges)
+        if seen is not None:
+            dropped(edges)
         edges = nxt
         if now == seen:
             break
@@ -96,7 +97,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    alone = first.where("a = b").select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return out if alone.isEmpty() else out.unionByName(alone.join(out.select("node"), "node", "left_anti"))
 
 
 def transitive(edges: DataFrame, slop: int, max_degree: int | None = None) -> DataFrame:
