@@ -19,6 +19,8 @@ PER_LANGUAGE = 500
 MODULUS, REST = 5, 0
 EPOCHS, SEED, PENALTY = 30, 11, 1e-4
 STEP_BYTES = 1 << 20
+#: Texts whose features are held at once.
+STEP_TEXTS = 128
 LETTER = re.compile(r"[^\W\d_]")
 
 #: Bytes of letters in lower case; all others are blanks.
@@ -32,8 +34,8 @@ def features(column: pa.Array):
     """For a stretch of texts: rows of hashed counts of two and three letters in turn, square roots, of length one."""
     buf, offsets = text_buffer(column)
     for lo, hi in pieces(offsets, STEP_BYTES):
-        for a in range(lo, hi, 512):
-            b = min(a + 512, hi)
+        for a in range(lo, hi, STEP_TEXTS):
+            b = min(a + STEP_TEXTS, hi)
             own = FOLD[buf[offsets[a] : offsets[b]]].astype(np.uint32)
             row = np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]))
             out = np.zeros((b - a) * DIM, np.float32)
