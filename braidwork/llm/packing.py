@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spans import tidied
+from .spans import tidied, tidy
 from .tokens import encoder
 
 MAX_TOKENS, MAX_SEGMENTS = 1024, 256
@@ -178,6 +178,8 @@ def pack(
                 if got:
                     yield table(got)
                     got = []
+        enc.forget()  # workers are reused by later stages
+        tidy()
         got = rows_of(packer.finish())
         if got:
             yield table(got)

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -94,9 +94,7 @@ def _byte_letters() -> dict[str, int]:
 
 class Encoder:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [x["content"] for x in spec.get("added_tokens") or ()]
@@ -115,9 +113,16 @@ class Encoder:
                 self.id_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
                 for t, i in ranks.items():
                     self.id_bytes[i] = len(t)
-        self._forget()
+        self.forget()
+
+    @cached_property
+    def library(self):
+        """The tokenizer of the library, loaded where the table can't give the ids."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         """Known pieces: sorted hashes with their numbers, and by number the piece itself and its stretch of ids."""
         self.keys, self.number = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.pieces: list[str] = []
@@ -141,7 +146,7 @@ class Encoder:
         A hash only leads to a piece, which is then compared letter by letter.
         """
         if len(self.pieces) > CACHE_PIECES:
-            self._forget()
+            self.forget()
         at = np.searchsorted(self.keys, h)
         miss = at == len(self.keys)
         miss[~miss] = self.keys[at[~miss]] != h[~miss]
