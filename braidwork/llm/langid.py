@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .learning import first_of_each, held_out, remainder
-from .spans import pieces, text_buffer
+from .spans import pieces, text_buffer, tidy
 
 DIM = 4096
 #: Training uses at most so many documents of each language.
@@ -184,6 +184,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
             for b in group[i + 1 :]:
                 rows = np.flatnonzero((y == a) | (y == b))
                 pairs[f, a, b] = svm(x[rows], np.where(y[rows] == a, 1.0, -1.0), rng)
+    tidy()  # the driver's memory too
     return Model(names, groups, family, pairs)
 
 

@@ -113,7 +113,7 @@ class Encoder:
                 self.id_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
                 for t, i in ranks.items():
                     self.id_bytes[i] = len(t)
-        self.forget()
+        self._forget()
 
     @cached_property
     def library(self):
@@ -122,12 +122,16 @@ class Encoder:
 
         return Tokenizer.from_file(self.path)
 
-    def forget(self) -> None:
+    def _forget(self) -> None:
         """Known pieces: sorted hashes with their numbers, and by number the piece itself and its stretch of ids."""
         self.keys, self.number = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.pieces: list[str] = []
         self.sizes, self.begin, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
 
+    def forget(self) -> None:
+        """Gives back what the known pieces take."""
+        self._forget()
+
     def _learn(self, new: list[str]) -> np.ndarray:
         """The numbers that the pieces get, which are merged here."""
         merge = self.merge
@@ -146,7 +150,7 @@ class Encoder:
         A hash only leads to a piece, which is then compared letter by letter.
         """
         if len(self.pieces) > CACHE_PIECES:
-            self.forget()
+            self._forget()
         at = np.searchsorted(self.keys, h)
         miss = at == len(self.keys)
         miss[~miss] = self.keys[at[~miss]] != h[~miss]
