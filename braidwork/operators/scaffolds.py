@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import windows as ws
 from ..functions.probability import normal_cdf
 from ..functions.sequence import reverse_complement
 from . import intervals as iv
@@ -318,12 +321,36 @@ def linkers(seqs: DataFrame, linker: str, most: int) -> DataFrame:
     """(id, pos, errors, before, after): where each sequence holds the linker with at most `most` other letters.
 
     The fewest errors, then the first place; before and after are the letters on both sides, which become mates.
+    A map over the sequences gives the best place of each row; rows that repeat an id share the best of all of them.
     """
-    w = windows(seqs, len(linker))
-    wrong = sum((F.when(F.substring("window", i + 1, 1) != c, 1).otherwise(0) for i, c in enumerate(linker)), F.lit(0))
-    best = w.select("id", F.struct(wrong.alias("errors"), "pos").alias("k")).where(F.col("k.errors") <= most).groupBy("id").agg(F.min("k").alias("k"))
-    n = seqs.select("id", F.length("seq").alias("len"))
-    return best.join(n, "id").select("id", "k.pos", "k.errors", F.col("k.pos").alias("before"), (F.col("len") - F.col("k.pos") - len(linker)).alias("after"))
+    k, kind = len(linker), seqs.schema["id"].dataType.simpleString()
+    want = [ord(c) for c in linker]
+
+    def run(batches):
+        for batch in batches:
+            buf, off = ws.letters(batch.column("seq"))
+            best = np.full(batch.num_rows, -1, np.int64)
+            for lo, hi in ws.stretches(len(buf), k):
+                wrong = np.zeros(hi - lo, np.uint16)
+                for i, c in enumerate(want):
+                    wrong += buf[lo + i : hi + i] != c
+                at = np.flatnonzero(wrong <= most)
+                row, whole = ws.rows_of(at + lo, off, k)
+                at, row = at[whole], row[whole]
+                if len(at):
+                    first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                    least = np.minimum.reduceat((wrong[at].astype(np.int64) << 40) | (at + lo - off[row]), first)
+                    own = best[row[first]]
+                    best[row[first]] = np.where((own >= 0) & (own < least), own, least)
+            none = pa.array(best < 0)
+            far = pa.compute.if_else(none, pa.scalar(None, pa.int64()), pa.array(best))
+            size = pa.compute.if_else(batch.column("seq").is_null(), pa.scalar(None, pa.int32()), pa.array(np.diff(off).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), size, far], ["id", "len", "best"])
+
+    each = seqs.select("id", "seq").mapInArrow(run, f"id {kind}, len int, best long").where("id is not null")
+    b = each.withColumn("best", F.min("best").over(Window.partitionBy("id"))).where("best is not null")
+    b = b.select("id", "len", F.col("best").bitwiseAND((1 << 40) - 1).alias("pos"), F.shiftright("best", 40).cast("int").alias("errors"))
+    return b.select("id", "pos", "errors", F.col("pos").alias("before"), (F.col("len") - F.col("pos") - k).alias("after"))
 
 
 def draw(number: Column, salt: int) -> Column:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.sequence import bases
 from ..operators import overlaps as ov
 from ..operators import scaffolds as sc
 from .assembly import EDGES, MEAN, RD, STDDEV, edges, mates, reads
-from .catalog import BASES, LETTERS, OV, dna, merge, query, read_overlaps, sweep
+from .catalog import BASES, LETTERS, OV, merge, query, read_overlaps, sweep, table
 from .finishing import SPANS, spans
 from .storage import both_ways
 
@@ -17,7 +18,7 @@ TRUSTED, LINKER = 11, "ACGTACGTAC"
 
 def sequences(spark, sf):
     """(id, seq): the letters of each text alone."""
-    return dna(spark, sf).select("id", F.regexp_replace("seq", "[^ACGT]", "").alias("seq"))
+    return bases(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("seq")), dict(zip(LETTERS, BASES)))
 
 
 SQ = f"sq AS (SELECT doc_id AS id, regexp_replace(translate(text, '{LETTERS}', '{BASES}'), '[^ACGT]', '', 'g') AS seq FROM documents)"

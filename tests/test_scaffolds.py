@@ -102,3 +102,23 @@ def test_contained_reads(spark):
     best = spark.createDataFrame([(2, 1, 5), (3, 2, 4), (4, 5, 1), (5, 4, 1), (6, 9, 1), (None, 1, 1)], "a_iid long, container long, offset long")
     placed = spark.createDataFrame([(1, 7, 100)], "iid long, tig long, bgn long")
     assert {tuple(r) for r in sc.placed_contained(best, placed).collect()} == {(2, 7, 105, 1), (3, 7, 109, 2)}
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_linkers_make_no_row_for_a_window(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i % 37 if i % 9 else None, "".join(rng.choice(list("ACGTÉ"), rng.integers(0, 90), p=[0.24, 0.24, 0.24, 0.24, 0.04]))) for i in range(60)] + [(3, None), (90, "A" * 70 + "ACGTAC" * 3)]
+    d = spark.createDataFrame(rows, "id long, seq string")
+    want = {}
+    for i, s in rows:
+        for p in range(len(s or "") - 5):
+            wrong = sum(a != b for a, b in zip(s[p : p + 6], "ACGTAC"))
+            if i is not None and wrong <= 2:
+                want[i] = min(want.get(i, (9, 0)), (wrong, p))
+    want = sorted(((i, want[i][1], want[i][0], want[i][1], None if s is None else len(s) - want[i][1] - 6) for i, s in rows if i in want), key=str)
+    got = sc.linkers(d, "ACGTAC", 2)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == want
+    assert "Generate" not in plan(got)
