@@ -306,12 +306,104 @@ def windows(seqs: DataFrame, k: int) -> DataFrame:
 def trusted_stretch(seqs: DataFrame, k: int, least: int) -> DataFrame:
     """(id, bgn, end): the longest stretch of each sequence whose k-mers all occur `least` times or more, of equals the first.
 
-    Counts are combined before the shuffle; the k-mers of a sequence that are not trusted are left out, and so are sequences without any.
+    K-mers of at most MOST_CODED letters are counted in tables of 4**k cells, a table for each task, in which counts end
+    at `least`; the flags of trusted ones are sent to all tasks (512 KB at k = 11), so no row is made for a window.
+    Sequences with other letters than ACGT, rows that repeat an id and longer k-mers go by rows of windows.
     """
-    w = windows(seqs, k)
-    good = w.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("window")
+    if k > ws.MOST_CODED:
+        w = windows(seqs, k)
+        good = w.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("window")
+        return _longest(w.join(good, "window", "left_semi"), k)
+    spark, kind = seqs.sparkSession, seqs.schema["id"].dataType.simpleString()
+    flags = spark.sparkContext.broadcast(np.packbits(_trusted(seqs, k, least), bitorder="little"))
+
+    def known(code):
+        return (flags.value[code >> 3] >> (code & 7).astype(np.uint8)) & 1 == 1
+
+    def run(batches):
+        for batch in batches:
+            buf, off = ws.letters(batch.column("seq"))
+            n = batch.num_rows
+            most, bgn = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            odd = np.zeros(n, bool)
+            odd[ws.rows_of(np.flatnonzero(~np.isin(buf, list(b"ACGT"))), off, 1)[0]] = True
+            left = np.zeros(0, np.int64)  # begin and end of a stretch that may go on
+            for lo, hi in ws.stretches(len(buf), k):
+                code, ok = ws.codes(buf, off, lo, hi, k)
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], (ok & known(code)).view(np.int8), [0]]))) + lo
+                edge = np.concatenate([left[:-1], edge[1:]]) if len(left) and len(edge) and left[-1] == edge[0] else np.concatenate([left, edge])
+                left = edge[-2:] if len(edge) and edge[-1] == hi and hi + k <= len(buf) else edge[:0]
+                edge = edge[: len(edge) - len(left)]
+                x, size = edge[::2], edge[1::2] - edge[::2]
+                row = np.searchsorted(off, x, "right") - 1
+                order = np.lexsort((x, -size, row))
+                order = order[np.flatnonzero(np.append(True, row[order][1:] != row[order][:-1]))] if len(order) else order
+                r = row[order]
+                more = size[order] > most[r]
+                most[r[more]], bgn[r[more]] = size[order][more], (x - off[row])[order][more]
+            keep = (most > 0) | odd
+            ids = batch.column("id").filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(bgn[keep]), pa.array((bgn + most)[keep] + k - 1), pa.array(odd[keep])], ["id", "bgn", "end", "odd"])
+
+    each = settled(seqs.select("id", "seq").mapInArrow(run, f"id {kind}, bgn long, end long, odd boolean"), "trusted")
+    g = each.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("odd").alias("odd"), F.max("bgn").alias("bgn"), F.max("end").alias("end"))
+    out = g.where("n = 1 and not odd").select("id", "bgn", "end")
+    rest = g.where("n > 1 or odd").select(F.col("id").alias("__id"))
+    if rest.isEmpty():
+        return out
+
+    def marked(batches):
+        for b in batches:
+            buf, off = ws.letters(b.column("window"))
+            code, ok = ws.codes(buf, off, 0, max(len(buf) - k + 1, 0), k)
+            at = off[:-1]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ok[at] & known(code[at])), pa.array(~ok[at])], [*b.schema.names, "good", "other"])
+
+    w = windows(seqs.join(rest, F.col("id").eqNullSafe(F.col("__id")), "left_semi"), k).mapInArrow(marked, f"id {kind}, pos long, window string, good boolean, other boolean")
+    other = w.where("other").groupBy("window").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("window")
+    w = w.where("good").select("window", "id", "pos").unionByName(w.where("other").select("window", "id", "pos").join(other, "window", "left_semi"))
+    return out.unionByName(_longest(w, k))
+
+
+def _trusted(seqs: DataFrame, k: int, least: int) -> np.ndarray:
+    """A flag for each code of k letters of ACGT: whether it occurs `least` times or more in seqs."""
+    cells = 4**k
+    kind = np.uint8 if least <= 127 else np.int64
+
+    def count(batches):
+        table, held = np.zeros(cells, kind), [np.zeros(0, np.int32)]
+
+        def put():
+            np.minimum(table + np.minimum(np.bincount(np.concatenate(held), minlength=cells), least).astype(kind), least, out=table)
+            held.clear()
+
+        for batch in batches:
+            buf, off = ws.letters(batch.column("seq"))
+            for lo, hi in ws.stretches(len(buf), k):
+                code, ok = ws.codes(buf, off, lo, hi, k)
+                held.append(code[ok])
+                if len(held) >= 4:  # a table takes as long as some stretches
+                    put()
+        if held:
+            put()
+        yield from ws.packed(table)
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for p, n in zip(batch.column("part").to_pylist(), batch.column("n").to_pylist()):
+                own = np.frombuffer(n, kind)
+                total[p] = np.minimum(total[p] + own, least).astype(kind) if p in total else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.packbits(n >= least, bitorder="little").tobytes() for n in total.values()], pa.binary())], ["part", "bits"])
+
+    parts = seqs.select("seq").mapInArrow(count, "part int, n binary").repartition("part").mapInArrow(add, "part int, bits binary")
+    return ws.bits(parts.collect(), cells) | (least <= 0)
+
+
+def _longest(trusted: DataFrame, k: int) -> DataFrame:
+    """(id, bgn, end): the longest run of places of trusted(id, pos), of equals the first."""
     order = Window.partitionBy("id").orderBy("pos")
-    g = w.join(good, "window", "left_semi").select("id", "pos", (F.col("pos") - F.row_number().over(order)).alias("g"))
+    g = trusted.select("id", "pos", (F.col("pos") - F.row_number().over(order)).alias("g"))
     s = g.groupBy("id", "g").agg(F.min("pos").alias("bgn"), (F.max("pos") + k).alias("end"))
     best = s.groupBy("id").agg(F.max(F.struct(F.col("end") - F.col("bgn"), -F.col("bgn"), "bgn", "end")).alias("m"))
     return best.select("id", "m.bgn", "m.end")

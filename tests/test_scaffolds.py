@@ -122,3 +122,25 @@ def test_linkers_make_no_row_for_a_window(spark, monkeypatch):
     got = sc.linkers(d, "ACGTAC", 2)
     assert sorted((tuple(r) for r in got.collect()), key=str) == want
     assert "Generate" not in plan(got)
+
+
+def test_trusted_stretches_make_no_row_for_a_window(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i if i < 40 else i % 7, "".join(rng.choice(list("ACGTÉ"), rng.integers(0, 90), p=[0.3, 0.3, 0.3, 0.08, 0.02]))) for i in range(46)] + [(90, "ACGT" * 9), (91, None), (None, "ACACACC")]
+    n = {}
+    for _, s in rows:
+        for p in range(len(s or "") - 3):
+            n[s[p : p + 4]] = n.get(s[p : p + 4], 0) + 1
+    places = {}
+    for i, s in rows:
+        places.setdefault(i, []).extend(p for p in range(len(s or "") - 3) if n[s[p : p + 4]] >= 9)
+    want = set()
+    for i, at in places.items():
+        runs = {}
+        for r, p in enumerate(sorted(at)):
+            runs.setdefault(p - r, []).append(p)
+        if runs:
+            want.add((i, *max((max(x) + 4 - min(x), -min(x), min(x), max(x) + 4) for x in runs.values())[2:]))
+    assert {tuple(r) for r in sc.trusted_stretch(spark.createDataFrame(rows, "id long, seq string"), 4, 9).collect()} == want
+    plain = spark.createDataFrame([(r, s) for r, (_, s) in enumerate(rows) if s and "É" not in s], "id long, seq string")
+    assert "Generate" not in plan(sc.trusted_stretch(plain, 4, 9))
