@@ -1,4 +1,4 @@
-"""Near-duplicates by an exact join of shingle sets: all pairs of Jaccard similarity 4/5 or more."""
+"""Near-duplicates of Jaccard similarity 4/5 or more: candidates by SimHash, those it misses by an exact join of shingle sets."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, shuffle_partitions, written
-from .simhash import drop_near_duplicates
+from .simhash import drop_near_duplicates, link_fingerprints, text_fingerprints
 from .spans import LOWER, NOT_SPACE, mix, pieces, span_hashes, text_buffer, tidied, whole_windows, window_hashes, word_spans
 
 SHINGLE_WORDS = 5
@@ -121,15 +121,18 @@ def parity_maps(sets: Sets, rows: np.ndarray, c: np.ndarray) -> list[np.ndarray]
     return np.split(np.packbits(odd.astype(bool), bitorder="little").view(U64), (np.cumsum(bits) // 64)[:-1])
 
 
-def spanning(n: np.ndarray, maps: np.ndarray, check=None) -> list[tuple[int, int]]:
-    """Links that span the components of all links between sets of sizes n that maps do not exclude and `check` confirms."""
+def spanning(n: np.ndarray, maps: np.ndarray, check=None, group: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that span the components of all links between sets of sizes n that maps do not exclude and `check` confirms.
+
+    Sets of equal `group` are taken as linked.
+    """
     k = len(n)
-    label = np.arange(k)
+    label = np.arange(k) if group is None else np.unique(group, return_inverse=True)[1]
     out: list[tuple[int, int]] = []
     for i in range(k - 1):
         rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
         if not len(rest):
-            if len(out) == k - 1:
+            if (label == label[i]).all():
                 break
             continue
         m = n[rest]
@@ -175,7 +178,7 @@ def _links(pairs) -> pa.RecordBatch:
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str, words: int, keep: tuple[str, ...] = (), *, marks: bool = False, hot: np.ndarray = NONE) -> DataFrame:
-    """(id_col, keep, fp long): the key of every text's shingle set; with marks also its size, signatures by class and parity maps."""
+    """(id_col, keep, fp long): the key of every text's shingle set; with marks also its size, signatures by class, parity maps and the text's SimHash `print`."""
     cols = [id_col, *keep]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols)
 
@@ -183,8 +186,8 @@ def sets(docs: DataFrame, id_col: str, text_col: str, words: int, keep: tuple[st
         from xxhash import xxh64_intdigest
 
         for b in tidied(batches):
-            lo = 0
-            for own in shingle_sets(b.column("__text"), words):
+            lo, texts = 0, b.column("__text")
+            for own in shingle_sets(texts, words):
                 n = len(own.sizes)
                 arrays = [pa.array([set_key(own[i], xxh64_intdigest) for i in range(n)], pa.int64())]
                 if marks:
@@ -201,13 +204,13 @@ def sets(docs: DataFrame, id_col: str, text_col: str, words: int, keep: tuple[st
                             counts[i].append(number)
                     arrays += [
                         pa.array(own.sizes, pa.int32()), pa.array([b"".join(x) for x in sigs], pa.binary()), pa.array(cls, pa.list_(pa.int32())),
-                        pa.array(maps, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int32())),
+                        pa.array(maps, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int32())), pa.array(text_fingerprints(texts.slice(lo, n), words)),
                     ]
-                names = ["fp", "n", "sigs", "cls", "maps", "counts"]
+                names = ["fp", "n", "sigs", "cls", "maps", "counts", "print"]
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, n) for c in cols), *arrays], [*cols, *names[: len(arrays)]])
                 lo += n
 
-    more = ", n int, sigs binary, cls array<int>, maps array<binary>, counts array<int>" if marks else ""
+    more = ", n int, sigs binary, cls array<int>, maps array<binary>, counts array<int>, print long" if marks else ""
     return docs.select(*cols, F.col(text_col).alias("__text")).mapInArrow(run, f"{kinds}, fp long{more}")
 
 
@@ -232,8 +235,11 @@ def common_parts(docs: DataFrame, id_col: str, text_col: str, words: int, n: int
     return np.sort(np.asarray(got.column("sig"), np.int64).view(U64))
 
 
-def _candidates(own: DataFrame) -> DataFrame:
-    """Links (a, b) of set keys that span the components of all pairs which share a signature and are not excluded by size or parity map."""
+def _candidates(own: DataFrame, named: DataFrame) -> DataFrame:
+    """Links (a, b) of the groups of named(fp, print_group) that span the components of all pairs of sets which share a signature and are not excluded by size or parity map.
+
+    Pairs within a group are not looked at.
+    """
     spark = own.sparkSession
     one = own.groupBy("fp").agg(F.any_value("sigs").alias("sigs"), F.any_value("cls").alias("cls"), F.any_value("counts").alias("counts"))
 
@@ -292,7 +298,8 @@ def _candidates(own: DataFrame) -> DataFrame:
     rows = written(rows.distinct(), "sets-shared")
     maps = own.select("fp", "n", F.explode(F.arrays_zip("cls", "maps")).alias("m")).select("fp", F.col("m.cls").cast("tinyint").alias("c"), "n", F.col("m.maps").alias("map"))
     maps = maps.groupBy("fp", "c").agg(F.any_value("n").alias("n"), F.any_value("map").alias("map"))
-    full = rows.join(maps.hint("merge"), ["fp", "c"]).select("name", "fp", "c", "n", "map")
+    rows = rows.join(named.select("fp", "print_group").hint("merge"), "fp")
+    full = rows.join(maps.hint("merge"), ["fp", "c"]).select("name", "fp", "c", "n", "map", "print_group")
 
     def compare(batches):
         links: list[tuple[int, int]] = []
@@ -302,8 +309,8 @@ def _candidates(own: DataFrame) -> DataFrame:
                 for c in np.unique(cls).tolist():
                     part = t.filter(pa.array(cls == c)) if (cls != c).any() else t
                     maps = np.frombuffer(b"".join(part.column("map").to_pylist()), U64).reshape(part.num_rows, -1)
-                    fp = np.asarray(part.column("fp"))
-                    links += [(int(fp[i]), int(fp[j])) for i, j in spanning(np.asarray(part.column("n")).astype(np.int64), maps)]
+                    group = np.asarray(part.column("print_group"))
+                    links += [(int(group[i]), int(group[j])) for i, j in spanning(np.asarray(part.column("n")).astype(np.int64), maps, group=group)]
             if len(links) > 50_000:
                 yield _links(links)
                 links = []
@@ -313,6 +320,13 @@ def _candidates(own: DataFrame) -> DataFrame:
     return full.repartition(shuffle_partitions(spark), "name").sortWithinPartitions("name", "fp").mapInArrow(compare, "a long, b long").distinct()
 
 
+def _print_groups(least: DataFrame) -> DataFrame:
+    """least with print_group: a name of the group of linked fingerprints (at most two bits apart) that its `print` is in."""
+    groups = connected_components(link_fingerprints(least.select(F.col("print").alias("fp")).distinct()))
+    named = least.join(groups.hint("merge"), F.col("print") == F.col("node"), "left")
+    return written(named.select("fp", "least", F.coalesce("component", "print").alias("print_group")), "sets-prints")
+
+
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """Every document with the key of its shingle set and the least id of its group of near-duplicates.
 
@@ -320,9 +334,12 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     shingles of `words` words (fewer words: all of them as one).  Two texts
     are linked if the Jaccard similarity of their sets is 4/5 or more, and
     groups are the components of the links; no linked pair is missed (up to
-    equal 64-bit hashes).  Candidates share a signature (see `signatures`); the
-    texts of each component of candidates come to one task, which counts the
-    common shingles.  Equal sets are taken once, so copies cost nothing more.
+    equal 64-bit hashes).  Candidates are texts whose SimHash fingerprints are
+    linked, by simhash's deletion variants; between such groups, which many
+    similar texts do not share, they are those that share a signature (see
+    `signatures`).  The texts of each component of candidates come to one task,
+    which counts the common shingles.  Equal sets are taken once, with the
+    least of their fingerprints, so copies cost nothing more.
 
     Null, empty and blank texts are equal.  Each row has a result row,
     repeated rows too.  Rows of null id take their group from the others; a
@@ -333,9 +350,11 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     docs = docs.select(id_col, text_col)
     hot = common_parts(docs, id_col, text_col, words, docs.count())
     own = written(sets(docs, id_col, text_col, words, marks=True, hot=hot), "sets")
-    least = written(own.groupBy("fp").agg(F.min(id_col).alias("least")), "sets-least")
-    groups = connected_components(_candidates(own))
-    asked = written(least.join(groups, F.col("fp") == F.col("node")).select("fp", "component", "least"), "sets-asked")
+    least = _print_groups(written(own.groupBy("fp").agg(F.min(id_col).alias("least"), F.min("print").alias("print")), "sets-least"))
+    groups = connected_components(_candidates(own, least))
+    asked = least.join(groups, F.col("print_group") == F.col("node"), "left").select("fp", F.coalesce("component", "print_group").alias("component"), "least")
+    several = asked.groupBy("component").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("component")
+    asked = written(asked.join(several, "component").select("fp", "component", "least"), "sets-asked")
     asked_ids = asked.select(F.col("fp").alias("k"), "component", F.col("least").alias("__least"))
     # one plan at every size, as in drop_near_duplicates
     texts = docs.join(asked_ids.hint("merge"), F.col(id_col).eqNullSafe(F.col("__least"))).select("k", "component", F.col(text_col).alias("t"))

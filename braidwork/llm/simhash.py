@@ -26,6 +26,8 @@ def shingle_hashes(text: str | None, words: int, digest) -> list[int]:
         return [digest(b" ".join(w), SEED)]
     if words == 3:
         return [digest(b"%b %b %b" % t, SEED) for t in zip(w, w[1:], w[2:])]
+    if words == 5:
+        return [digest(b"%b %b %b %b %b" % t, SEED) for t in zip(w, w[1:], w[2:], w[3:], w[4:])]
     return [digest(b" ".join(w[i : i + words]), SEED) for i in range(len(w) - words + 1)]
 
 
@@ -61,25 +63,32 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).reshape(n)
 
 
+def text_fingerprints(texts: pa.Array, words: int) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    out = []
+    for lo in range(0, len(texts), 256):
+        hashes: list[int] = []
+        counts = []
+        for t in texts.slice(lo, 256).to_pylist():
+            h = shingle_hashes(t, words, xxh64_intdigest)
+            hashes += h
+            counts.append(len(h))
+        out.append(majority(np.array(hashes, np.uint64), np.array(counts, np.int64)))
+    return np.concatenate(out or [np.empty(0, np.uint64)]).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, keep, fp long): the 64-bit SimHash of every text, a map over the documents."""
     cols = [id_col, *keep]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols)
 
     def run(batches):
-        from xxhash import xxh64_intdigest
-
         for b in tidied(batches):
             texts = b.column("__text")
             for lo in range(0, b.num_rows, 256):
-                hashes: list[int] = []
-                counts = []
-                for t in texts.slice(lo, 256).to_pylist():
-                    h = shingle_hashes(t, words, xxh64_intdigest)
-                    hashes += h
-                    counts.append(len(h))
-                fp = majority(np.array(hashes, np.uint64), np.array(counts, np.int64))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, 256) for c in cols), pa.array(fp.view(np.int64))], [*cols, "fp"])
+                fp = text_fingerprints(texts.slice(lo, 256), words)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, 256) for c in cols), pa.array(fp)], [*cols, "fp"])
 
     return docs.select(*cols, F.col(text_col).alias("__text")).mapInArrow(run, f"{kinds}, fp long")
 
@@ -211,9 +220,11 @@ def near_duplicates(
     """Every document with its fingerprint and the least id of its group of near-duplicates.
 
     With `similarity` (0.8) groups are those of texts whose sets of shingles
-    have this Jaccard similarity or more.  Their fingerprints differ in up to
-    eleven bits and more, which no deletion variants reach: the candidates then
-    come from setjoin's exact search instead, and fp is the key of the set.
+    have this Jaccard similarity or more, and fp is the key of the set.  Texts
+    of linked fingerprints are then candidates, whose shingles are compared.
+    Fingerprints of similar texts differ in up to eleven bits and more, which
+    no deletion variants reach: setjoin's exact search adds the candidates
+    between groups of fingerprints.
 
     Texts are lower-cased (A-Z), cut at ASCII white space and taken as shingles
     of `words` words, repeats included (fewer words: all of them as one); a bit

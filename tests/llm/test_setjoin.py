@@ -6,7 +6,7 @@ import pytest
 
 pytest.importorskip("braidwork.llm")
 
-from braidwork.llm import setjoin  # noqa: E402
+from braidwork.llm import setjoin, simhash  # noqa: E402
 from tests.llm.test_operators import components, docs, edge_rows  # noqa: E402
 
 
@@ -65,3 +65,15 @@ def test_pipeline_stage_keeps_edge_rows(spark):
     kept = setjoin.drop_similar_documents(df)
     want = {r.component_id for r in setjoin.similar_documents(df).collect()}
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
+def test_fingerprints_give_candidates_that_shingles_confirm(spark, monkeypatch):
+    """Without the signatures of sets, texts of linked fingerprints are still found; no fingerprint had a part in it."""
+    base = " ".join(f"word{i}" for i in range(900))
+    loud = "hum " * 200
+    rows = [(1, base), (2, base.replace("word450 ", "other ")), (3, loud + " ".join(f"a{i}" for i in range(40))), (4, loud + " ".join(f"b{i}" for i in range(40))), (5, "quite another text than that")]
+    prints = {r.doc_id: r.fp & (2**64 - 1) for r in simhash.fingerprints(docs(spark, rows), words=5).collect()}
+    assert 0 < (prints[1] ^ prints[2]).bit_count() <= 2 and (prints[3] ^ prints[4]).bit_count() <= 2
+    monkeypatch.setattr(setjoin, "_candidates", lambda *_: spark.createDataFrame([], "a long, b long"))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs(spark, rows), words=5, similarity=0.8).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
