@@ -18,6 +18,8 @@ RIDGE, STEPS = 1e-3, 25
 #: Nodes to a unit of strength: of the chances, and of the sums that only steer the steps.
 FINE, COARSE = 64, 8
 FAR = 1 << 20
+#: From this lead on the chance of the other order, 4e-18, is nought beside one.
+FLAT = 40
 #: The score from which a document counts as good.
 GOOD = 0.7
 STEP_BYTES = 1 << 20
@@ -136,10 +138,21 @@ def nodes(s: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int64), s * width - at
 
 
-def across(values: np.ndarray, f, width: int, sign: int) -> np.ndarray:
-    """For every node k: the sum over nodes l of values[l] * f(sign * (strength of k - strength of l))."""
+def across(values: np.ndarray, f, width: int, sign: int, far=None) -> np.ndarray:
+    """For every node k: the sum over nodes l of values[l] * f(t), t = sign * (strength of k - strength of l).
+
+    f is nought for t above FLAT; far gives the sums for all t below -FLAT
+    from those of values[l] and of values[l] * -t, none: nought.  The work
+    grows with the number of nodes alone.
+    """
     n = len(values)
-    return np.convolve(values, f(sign * np.arange(1 - n, n) / width), "valid")
+    reach = min(n - 1, FLAT * width)
+    out = np.convolve(values, f(sign * np.arange(-reach, reach + 1) / width))[reach : reach + n]
+    if far is not None and reach < n - 1:
+        v = values[::sign]
+        count, place = (np.cumsum(x[::-1])[::-1][reach + 1 :] for x in (v, v * np.arange(n)))
+        out[::sign][: len(count)] += far(count, (place - np.arange(len(count)) * count) / width)
+    return out
 
 
 def other(t: np.ndarray) -> np.ndarray:
@@ -173,9 +186,9 @@ class Pairs:
         by[(keys >> 1) - self.low, keys & 1] = sums
         bad, good = by.T
         # of the leads of good over bad rows
-        self.other = np.stack([across(good, other, FINE, -1), across(bad, other, FINE, 1)])
+        self.other = np.stack([across(good, other, FINE, -1, lambda n, t: n), across(bad, other, FINE, 1, lambda n, t: n)])
         self.unsure = np.stack([across(good, unsure, FINE, -1), across(bad, unsure, FINE, 1)])
-        self.loss = float(good @ across(bad, lambda t: np.logaddexp(0, -t), FINE, 1))
+        self.loss = float(good @ across(bad, lambda t: np.logaddexp(0, -t), FINE, 1, lambda n, t: t))
 
     def at(self, table: np.ndarray, s: np.ndarray, good: np.ndarray) -> np.ndarray:
         at, up = nodes(s, FINE)
@@ -262,6 +275,8 @@ def fit(rows: DataFrame) -> Ranking:
     for _ in range(STEPS):
         first, second = slopes(rows, out, pairs)
         step, before = np.linalg.solve(second / n + RIDGE * np.eye(m), first / n - RIDGE * out.w), out.w
+        while np.linalg.norm(before + step) > 40:  # beyond that the ridge alone costs more than weights of nought
+            step = step / 2
         for _ in range(8):
             out.w = before + step
             pairs, last = Pairs(rows, out), loss

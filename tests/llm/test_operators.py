@@ -287,6 +287,17 @@ def test_quality_learns_from_every_labelled_row_and_pair(spark):
     assert np.abs(want - np.array([out[i] for i, _ in labels])).max() < 1e-3
 
 
+def test_sums_across_nodes_of_far_strengths():
+    rng = np.random.default_rng(3)
+    v = rng.random(9000) * (rng.random(9000) < 0.1)  # 140 units of strength
+    lead = (np.arange(9000)[:, None] - np.arange(9000)[None, :]) / quality.FINE
+    for sign in (1, -1):
+        loss = lambda t: np.logaddexp(0, -t)
+        for f, far in ((quality.other, lambda n, t: n), (quality.unsure, None), (loss, lambda n, t: t)):
+            want = f(sign * lead) @ v
+            assert np.allclose(quality.across(v, f, quality.FINE, sign, far), want, rtol=1e-9, atol=1e-12)
+
+
 def test_classifiers_on_edge_cases(spark):
     df = docs(spark, edge_rows() + [(20, "12 34 !")])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
