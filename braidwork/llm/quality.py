@@ -172,7 +172,7 @@ class Pairs:
     over all partners of a row it is a function of the row's strength, which
     follows from the numbers of partners by node: so all pairs are summed in
     one pass over the rows.  Chances are interpolated between nodes 1/64
-    apart, which changes each by less than 0.00005 of itself.
+    apart, which changes each by less than 0.0001 of itself.
     """
 
     def __init__(self, rows: DataFrame, model: Ranking):
