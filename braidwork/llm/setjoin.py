@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, shuffle_partitions, written
+from .common import connected_components, freed, shuffle_partitions, written
 from .simhash import drop_near_duplicates, link_fingerprints, text_fingerprints
 from .spans import LOWER, NOT_SPACE, mix, pieces, span_hashes, text_buffer, tidied, whole_windows, window_hashes, word_spans
 
@@ -351,7 +351,9 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     hot = common_parts(docs, id_col, text_col, words, docs.count())
     own = written(sets(docs, id_col, text_col, words, marks=True, hot=hot), "sets")
     least = _print_groups(written(own.groupBy("fp").agg(F.min(id_col).alias("least"), F.min("print").alias("print")), "sets-least"))
+    freed(docs.sparkSession)  # here and below: a loop over many small tables is done
     groups = connected_components(_candidates(own, least))
+    freed(docs.sparkSession)
     asked = least.join(groups, F.col("print_group") == F.col("node"), "left").select("fp", F.coalesce("component", "print_group").alias("component"), "least")
     several = asked.groupBy("component").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("component")
     asked = written(asked.join(several, "component").select("fp", "component", "least"), "sets-asked")
@@ -386,6 +388,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     found = texts.repartition(shuffle_partitions(docs.sparkSession), "component").sortWithinPartitions("component").mapInArrow(verify, "a long, b long")
     true = connected_components(written(found, "sets-links"))
+    freed(docs.sparkSession)
     named = least.join(true, F.col("fp") == F.col("node")).select("fp", "component", "least")
     best = named.groupBy("component").agg(F.min("least").alias("low"))
     linked = named.select("fp", "component").join(best, "component").select("fp", "low")
